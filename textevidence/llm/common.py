@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folder with the public tokenizers' files; a parameter of the deployment.
@@ -25,7 +26,7 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iter
     """Cut an Arrow batch so that no part holds much more than ``chars`` bytes of ``column``."""
     if batch.num_rows == 0:
         return
-    lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+    lens = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     part = np.cumsum(lens, dtype=np.int64) // chars
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
