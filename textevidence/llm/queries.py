@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, tokenize
+from . import mixing, spans, tokenize
 from .common import table
 
 
@@ -23,9 +23,30 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mixture(table(spark, d, "documents"), targets), targets)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+def p8_parts(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_parts(table(spark, d, "documents"))
+
+
+def p8_lines(spark: SparkSession, d: str) -> DataFrame:
+    return spans.repeated_lines(table(spark, d, "documents"))
+
+
+P8_LINES_SQL = """
+with split as (select doc_id, string_split(text, chr(10)) as parts from documents where length(text) >= 200),
+lines as (select doc_id, unnest(parts) as line, unnest(range(len(parts))) as i, parts from split),
+placed as (select doc_id, line, (list_sum([0] || [length(x) + 1 for x in parts[1:i]]))::bigint as start_pos from lines where length(line) >= 200),
+ranked as (select *, first_value(doc_id) over w as kept_id, first_value(start_pos) over w as kept_pos from placed window w as (partition by line order by doc_id, start_pos))
+select doc_id, start_pos, start_pos + length(line) as end_pos, kept_id, kept_pos from ranked where (doc_id, start_pos) <> (kept_id, kept_pos)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_mixture, p7_shares)}
+    return {f.__name__: f for f in (p6_ids, p7_mixture, p7_shares, p8_found, p8_parts, p8_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p8_lines": P8_LINES_SQL}
