@@ -129,9 +129,10 @@ def mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKEN
                 slot = permute(place, np.full(len(use), row["slots"]), np.full(len(use), row["shard"] * 104729 + seed))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(use), row["shard"], np.int32)), pa.array(slot.astype(np.int32)), pa.array([row["source"]] * len(use), pa.string()), pa.array(epoch.astype(np.int32)), pa.array(block)], names=["shard", "slot", "source", "epoch", "block"])
 
-    drawn = spark.createDataFrame(plan, "shard int, source string, used long, n long, before long, blocks long, slots long").repartition(max(1, min(len(plan), 512)))
+    drawn = spark.createDataFrame(plan, "shard int, source string, used long, n long, before long, blocks long, slots long").repartition(max(1, min(len(plan), total // 100_000, 4096)))
     used = drawn.mapInArrow(slots, "shard int, slot int, source string, epoch int, block long")
-    return used.join(pieces, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "doc_id", "tok_start", "tok_end")
+    # Slots grow with the mixture, though Spark can't see it past mapInArrow: never broadcast them.
+    return used.hint("merge").join(pieces.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "doc_id", "tok_start", "tok_end")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
