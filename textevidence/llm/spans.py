@@ -71,8 +71,68 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+#: Characters outside a text's own block that get a code below 32 in packed contexts (fixed values).
+_COMMON = [0x0964, 0x0965, 0x200C, 0x200D, 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x201E, 0x2026, 0x00AB, 0x00BB, 0x00A0]
+_CODES = np.array([*range(1, 9), *range(14, 21)], np.uint32)
+_PLAIN = np.full(0x2100, 0, np.uint8)
+_PLAIN[_COMMON] = _CODES
+_PLAIN[[9, 10, 13]] = 9, 10, 13
+_PLAIN[32:128] = np.arange(32, 128)
+_UNPLAIN = np.zeros(128, np.uint32)
+_UNPLAIN[_CODES], _UNPLAIN[[9, 10, 13]], _UNPLAIN[32:] = _COMMON, (9, 10, 13), np.arange(32, 128)
+
+
+def pack(codes: np.ndarray, start: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of two runs each as bytes: one byte a character where all come from ASCII, the common marks and
+    one page of 128 code points (its number is given), else UTF-8 (page -1).  Without loss."""
+    size = lens[::2] + lens[1::2]
+    chars = codes[ragged(start, lens)]
+    plain = _PLAIN[np.minimum(chars, 0x20FF)]
+    page = np.where(plain > 0, 0, chars >> 7).astype(np.int32)
+    bad = (chars < 128) & (plain == 0)  # control characters
+    page[bad] = 1 << 20
+    begin = np.cumsum(size) - size
+    most = np.maximum.reduceat(page, begin)
+    least = np.minimum.reduceat(np.where(plain > 0, 1 << 21, page), begin)
+    own = ((most == 0) | (most == least)) & (most < 1 << 15)
+    byte = np.where(plain > 0, plain, 128 | (chars & 127)).astype(np.uint8)
+    count = size.copy()
+    other = np.flatnonzero(~own)
+    if not len(other):
+        return most.astype(np.int16), np.concatenate(([0], np.cumsum(count))).astype(np.int32), byte
+    texts = [chars[b : b + n].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for b, n in zip(begin[other].tolist(), size[other].tolist(), strict=True)]
+    count[other] = [len(x) for x in texts]
+    ends = np.cumsum(count)
+    data = np.empty(int(ends[-1]), np.uint8)
+    data[ragged((ends - count)[own], count[own])] = byte[ragged(begin[own], size[own])]
+    data[ragged((ends - count)[other], count[other])] = np.frombuffer(b"".join(texts), np.uint8)
+    return np.where(own, most, -1).astype(np.int16), np.concatenate(([0], ends)).astype(np.int32), data
+
+
+def unpack(page: np.ndarray, context: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of packed contexts one after another, and each one's number of characters."""
+    offsets = np.frombuffer(context.buffers()[1], np.int32)[context.offset : context.offset + len(context) + 1].astype(np.int64)
+    data = np.frombuffer(context.buffers()[2], np.uint8)
+    count = np.diff(offsets)
+    raw = data[offsets[0] : offsets[-1]]
+    pages = np.repeat(page.astype(np.uint32), count)
+    codes = np.where(raw < 128, _UNPLAIN[raw & 127], (pages << 7) | (raw & 127)).astype(np.uint32)
+    other = np.flatnonzero(page < 0)
+    if not len(other):
+        return codes, count
+    texts = [raw[a : a + n].tobytes().decode("utf-8", "surrogatepass") for a, n in zip((offsets[other] - offsets[0]).tolist(), count[other].tolist(), strict=True)]
+    lens = count.copy()
+    lens[other] = [len(x) for x in texts]
+    ends = np.cumsum(lens)
+    out = np.empty(int(ends[-1]), np.uint32)
+    own = page >= 0
+    out[ragged((ends - lens)[own], lens[own])] = codes[ragged((offsets[:-1] - offsets[0])[own], count[own])]
+    out[ragged((ends - lens)[other], lens[other])] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, lens
+
+
 def units(ids: np.ndarray, texts: list[str], span: int, gram: int) -> pa.RecordBatch | None:
-    """(doc_id, anchor, at, low, high, context): one row per unit.  Its windows start at low..high, counted from
+    """(doc_id, anchor, at, low, high, page, context): one row per unit.  Its windows start at low..high, counted from
     the anchor gram, which starts at ``at``; context is the text around the gram that the windows cover."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -87,26 +147,17 @@ def units(ids: np.ndarray, texts: list[str], span: int, gram: int) -> pa.RecordB
     last = np.concatenate((first[1:], [len(window)])) - 1
     at, d = anchor[first], doc[first]
     left, right = window[first], window[last] + span
-    raw = "".join(texts).encode("utf-8", "surrogatepass")
-    data = np.frombuffer(raw, np.uint8)
-    place = np.concatenate((np.flatnonzero((data & 0xC0) != 0x80), [len(data)]))  # byte of each character
-    from_a, to_a, from_b, to_b = place[left], place[at], place[at + gram], place[right]
-    bytes_a, bytes_b = to_a - from_a, to_b - from_b
-    runs = np.stack((from_a, from_b), 1).ravel(), np.stack((bytes_a, bytes_b), 1).ravel()
-    context = data[ragged(*runs)]
-    offsets = np.concatenate(([0], np.cumsum(bytes_a + bytes_b))).astype(np.int32)
-    text = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(context)])
+    page, offsets, data = pack(codes, np.stack((left, at + gram), 1).ravel(), np.stack((at - left, right - at - gram), 1).ravel())
+    context = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids[d]), pa.array(hashes[at].view(np.int64)), pa.array((at - starts[d]).astype(np.int32)), pa.array((left - at).astype(np.int16)), pa.array((window[last] - at).astype(np.int16)), text],
-        names=["doc_id", "anchor", "at", "low", "high", "context"],
+        [pa.array(ids[d]), pa.array(hashes[at].view(np.int64)), pa.array((at - starts[d]).astype(np.int32)), pa.array((left - at).astype(np.int16)), pa.array((window[last] - at).astype(np.int16)), pa.array(page), context],
+        names=["doc_id", "anchor", "at", "low", "high", "page", "context"],
     )
 
 
-def compare(doc: np.ndarray, anchor: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, context: list[bytes], span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compare(doc: np.ndarray, anchor: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, page: np.ndarray, context: pa.Array, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_id, start, end) of the stretches whose windows another record has too, of whole groups of units."""
-    texts = [c.decode("utf-8", "surrogatepass") for c in context]
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes, lens = unpack(page, context)
     begin = np.cumsum(lens) - lens
     rolling = Rolling(codes)
     group = _mix(anchor.view(np.uint64))
@@ -189,16 +240,16 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         size = 0
 
         def run(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-            t = pa.Table.from_batches(parts)
+            t = pa.Table.from_batches(parts).combine_chunks()
             if not t.num_rows:
                 return None
-            columns = [t.column(c).to_numpy() for c in ("doc_id", "anchor", "at", "low", "high")]
-            doc, start, end = _merge(*compare(*columns, t.column("context").to_pylist(), span, gram))
+            columns = [t.column(c).to_numpy() for c in ("doc_id", "anchor", "at", "low", "high", "page")]
+            doc, start, end = _merge(*compare(*columns, t.column("context").chunk(0), span, gram))
             return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "start", "end"])
 
         for batch in batches:
             held.append(batch)
-            size += batch.column(5).nbytes
+            size += batch.column(6).nbytes
             if size > GROUP_CHARS:
                 keys = np.concatenate([np.asarray(b.column(1)) for b in held])
                 whole = int(np.searchsorted(keys, keys[-1], "left")) if keys[0] <= keys[-1] else 0
@@ -207,13 +258,13 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     if (out := run(t.slice(0, whole).to_batches())) is not None:
                         yield out
                     held = t.slice(whole).to_batches()
-                    size = sum(b.column(5).nbytes for b in held) if len(held) > 1 or whole < len(keys) // 2 else 0
+                    size = sum(b.column(6).nbytes for b in held) if len(held) > 1 or whole < len(keys) // 2 else 0
         if held and (out := run(held)) is not None:
             yield out
 
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("_text"))
     texts = texts.where(F.length("_text") >= span).where("doc_id is not null")
-    rows = texts.select("doc_id", "_text").mapInArrow(cut, "doc_id long, anchor long, at int, low short, high short, context binary")
+    rows = texts.select("doc_id", "_text").mapInArrow(cut, "doc_id long, anchor long, at int, low short, high short, page short, context binary")
     stretches = rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(match, "doc_id long, start int, end int")
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
