@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, spans, tokenize
+from . import mixing, sentences, spans, tokenize
 from .common import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "corpus_events").select("event_id", "transcript")
+    pages = table(spark, d, "pdf_pages").where("engine = 'pdfjs-dist'").select("page_id", "text")
+    clean = table(spark, d, "lang_samples")
+    model = sentences.fit([(events, "transcript", False), (pages, "text", True)], clean)
+    return sentences.sentences(events, clean, "event_id", "transcript", False, "corpus_events", model).unionByName(sentences.sentences(pages, clean, "page_id", "text", True, "pdf_pages", model))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
@@ -45,7 +53,7 @@ select doc_id, start_pos, start_pos + length(line) as end_pos, kept_id, kept_pos
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_mixture, p7_shares, p8_found, p8_parts, p8_lines)}
+    return {f.__name__: f for f in (p3_found, p6_ids, p7_mixture, p7_shares, p8_found, p8_parts, p8_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
