@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sentences, spans, tokenize
+from . import langid, mixing, sentences, spans, tokenize
 from .common import table
 
 
@@ -18,6 +18,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(events, clean, "event_id", "transcript", False, "corpus_events", model).unionByName(sentences.sentences(pages, clean, "page_id", "text", True, "pdf_pages", model))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.found(table(spark, d, "corpus_events"), table(spark, d, "documents"), table(spark, d, "cue_matches"), table(spark, d, "lang_samples"))
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "corpus_events")
+    model = langid.fit(table(spark, d, "lang_samples"), [(events, "language", "transcript")])
+    return langid.segments(events, model, "event_id", "transcript")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
@@ -53,7 +63,7 @@ select doc_id, start_pos, start_pos + length(line) as end_pos, kept_id, kept_pos
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p6_ids, p7_mixture, p7_shares, p8_found, p8_parts, p8_lines)}
+    return {f.__name__: f for f in (p3_found, p5_found, p5_segments, p6_ids, p7_mixture, p7_shares, p8_found, p8_parts, p8_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
