@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, sentences, spans, tokenize
+from . import langid, mixing, pii, sentences, spans, tokenize
 from .common import table
 
 
@@ -18,6 +18,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(events, clean, "event_id", "transcript", False, "corpus_events", model).unionByName(sentences.sentences(pages, clean, "page_id", "text", True, "pdf_pages", model))
 
 
+_ID_FIELDS = ("field", ["document_number", "nid_number"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    names = pii.name_parts(table(spark, d, "name_parts"))
+    pages = pii.find(table(spark, d, "pdf_pages"), names, "page_id", "text", "pdf_pages")
+    fields = pii.find(table(spark, d, "extracted_fields"), names, "field_id", "raw", "extracted_fields", _ID_FIELDS)
+    events = pii.find(table(spark, d, "corpus_events"), names, "event_id", "transcript", "corpus_events")
+    return pages.unionByName(fields).unionByName(events)
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "pdf_pages"), pii.name_parts(table(spark, d, "name_parts")), "page_id", "text")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.found(table(spark, d, "corpus_events"), table(spark, d, "documents"), table(spark, d, "cue_matches"), table(spark, d, "lang_samples"))
 
@@ -63,7 +78,7 @@ select doc_id, start_pos, start_pos + length(line) as end_pos, kept_id, kept_pos
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p5_found, p5_segments, p6_ids, p7_mixture, p7_shares, p8_found, p8_parts, p8_lines)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_redacted, p5_found, p5_segments, p6_ids, p7_mixture, p7_shares, p8_found, p8_parts, p8_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
