@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, pii, sentences, spans, tokenize
+from . import langid, lookalike, mixing, pii, sentences, spans, tokenize
 from .common import table
 
 
+def _p2_sources(spark: SparkSession, d: str) -> list:
+    return [("corpus_events", table(spark, d, "corpus_events"), "event_id", "transcript"), ("dialect_candidates", table(spark, d, "dialect_candidates"), "candidate_id", "phrase"), ("pdf_pages", table(spark, d, "pdf_pages"), "page_id", "text")]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.found(_p2_sources(spark, d))
+
+
+def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
+    sources = _p2_sources(spark, d)
+    return lookalike.canonical(sources[0][1], lookalike.vocabulary([(df, text) for _, df, _, text in sources]), "event_id", "transcript")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "corpus_events").select("event_id", "transcript")
     pages = table(spark, d, "pdf_pages").where("engine = 'pdfjs-dist'").select("page_id", "text")
@@ -78,7 +91,7 @@ select doc_id, start_pos, start_pos + length(line) as end_pos, kept_id, kept_pos
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_redacted, p5_found, p5_segments, p6_ids, p7_mixture, p7_shares, p8_found, p8_parts, p8_lines)}
+    return {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p4_found, p4_redacted, p5_found, p5_segments, p6_ids, p7_mixture, p7_shares, p8_found, p8_parts, p8_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
