@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lookalike, mixing, pii, sentences, spans, tokenize
+from . import langid, lookalike, mixing, pii, scan, sentences, spans, tokenize
 from .common import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan.found(table(spark, d, "pdf_pages"), table(spark, d, "raster_results"), table(spark, d, "image_intents"))
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan.repaired(table(spark, d, "raster_results"), scan.fit(table(spark, d, "pdf_pages")), "file_id", "text")
+
+
 def _p2_sources(spark: SparkSession, d: str) -> list:
     return [("corpus_events", table(spark, d, "corpus_events"), "event_id", "transcript"), ("dialect_candidates", table(spark, d, "dialect_candidates"), "candidate_id", "phrase"), ("pdf_pages", table(spark, d, "pdf_pages"), "page_id", "text")]
 
@@ -91,7 +99,7 @@ select doc_id, start_pos, start_pos + length(line) as end_pos, kept_id, kept_pos
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p4_found, p4_redacted, p5_found, p5_segments, p6_ids, p7_mixture, p7_shares, p8_found, p8_parts, p8_lines)}
+    return {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_canonical, p3_found, p4_found, p4_redacted, p5_found, p5_segments, p6_ids, p7_mixture, p7_shares, p8_found, p8_parts, p8_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
