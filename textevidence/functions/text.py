@@ -12,6 +12,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the contract (fixed values), as the inside of a character class.
 WS = r"\t\n\x0B\f\r    -     　﻿"
@@ -27,7 +28,7 @@ FACT_WORDS = [("ঘণ্টা", "hours"), ("সপ্তাহ", "week"), ("
 PREVIEW_CHARS = 1200
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -112,7 +113,7 @@ def amount(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, ",", ""), "^0+(?=[0-9])", "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _half_up(s: pd.Series, places: pd.Series) -> pd.Series:
     """Rounds the exact binary value, so a tie of the shortest spelling is none."""
 
