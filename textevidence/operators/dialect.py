@@ -1,20 +1,24 @@
 """Dialect cue matching: every text against the cue catalog, the best cue, and a floor.
 
-The catalog is a literal array inside the expression (19 cues, forms made once at planning time), so scoring and
-argmax are one projection: no join and no exchange.
+Forms, tags and floors are native expressions.  Scoring is one Arrow pass: the built-in edit distance takes about
+4 ms for a Bengali text against 19 cues in two views, the bit-parallel one 0.2 ms.  There is no join and no exchange.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..catalog.cues import CUES, CURATED_FLOOR, CURATED_LABELS, FLOOR, MOST_CHARS, REGIONS, VARIANTS
+from ..catalog.cues import CUES, CURATED_FLOOR, CURATED_LABELS, FLOOR, LONGEST_EDIT, MOST_CHARS, REGIONS, VARIANTS
+from ..functions.editbits import Phrases
 from ..functions.script import presence_tag, token_core
-from ..functions.similarity import phrase_score
 from ..functions.text import ASCII_DIGITS, BENGALI_DIGITS, norm_match, prefix
 
 _SPACE = "[\t\n\x0b\f\r    -     　﻿]+"
@@ -47,14 +51,60 @@ def norm_romanised(normal: Column) -> Column:
     return F.array_join(F.filter(words, lambda t: t != ""), " ")
 
 
-def _catalog() -> Column:
-    rows = [F.struct(F.lit(-i).alias("rank"), F.lit(match_form(c[0])).alias("a"), F.lit(romanised_form(c[0])).alias("b"), *(F.lit(x).alias(n) for x, n in zip(c[1:], ("label", "region", "candidate", "source"), strict=True))) for i, c in enumerate(CUES)]
-    return F.array(*rows)
+class _View:
+    """One view of the catalog: the forms of all cues and their words."""
 
+    def __init__(self, form):
+        self.forms = [form(c[0]) for c in CUES]
+        self.phrases = Phrases(self.forms)
+        self.sizes = np.array([len({w for w in f.split(" ") if w}) for f in self.forms])
+        self.lengths = np.array([len(f) for f in self.forms])
+        self.cues_of: dict[str, list[int]] = {}
+        for i, f in enumerate(self.forms):
+            for w in {w for w in f.split(" ") if w}:
+                self.cues_of.setdefault(w, []).append(i)
 
-def best_cue(normal: Column, romanised: Column) -> Column:
-    """The best cue (score, rank, label, region, candidate, source); of equal scores the first in the catalog."""
-    return F.array_max(F.transform(_catalog(), lambda c: F.struct(F.greatest(phrase_score(c["a"], normal), phrase_score(c["b"], romanised)).alias("score"), c["rank"].alias("rank"), c["label"].alias("label"), c["region"].alias("region"), c["candidate"].alias("candidate"), c["source"].alias("source"))))
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """phrase_score of every text (rows) against every cue (columns)."""
+        out = np.zeros((len(texts), len(self.forms)))
+        for i, text in enumerate(texts):
+            words = {w for w in text.split(" ") if w}
+            common = np.zeros(len(self.forms))
+            for w in words & self.cues_of.keys():
+                common[self.cues_of[w]] += 1
+            if common.any():
+                p, r = common / self.sizes, common / len(words)
+                out[i] = np.divide(2 * p * r, p + r, out=np.zeros_like(p), where=common > 0)
+        near = [i for i, t in enumerate(texts) if 0 < len(t) <= LONGEST_EDIT]
+        if near:
+            some = [texts[i] for i in near]
+            longer = np.maximum(np.array([len(t) for t in some])[:, None], self.lengths[None, :])
+            out[near] = np.maximum(out[near], (longer - self.phrases.distances(some)) / longer)
+        return out
+
+
+@lru_cache(maxsize=1)
+def _views() -> tuple[_View, _View]:
+    return _View(match_form), _View(romanised_form)
+
+
+_BEST = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("at", T.IntegerType())])
+
+
+@F.pandas_udf(_BEST)
+def _best_cue(normal: pd.Series, romanised: pd.Series) -> pd.DataFrame:
+    """The best score over both views and the cue's place in the catalog; of equal scores the first cue stays."""
+    score, at = np.zeros(len(normal)), np.zeros(len(normal), np.int32)
+    for start in range(0, len(normal), 4000):
+        part = slice(start, start + 4000)
+        both = np.maximum(*(view.scores(side.iloc[part].fillna("").tolist()) for view, side in zip(_views(), (normal, romanised), strict=True)))
+        at[part] = both.argmax(1)
+        score[part] = both.max(1)
+    return pd.DataFrame({"score": score, "at": at})
+
+
+#: Evaluated once per row, whatever filters stand above it.
+best_cue = _best_cue.asNondeterministic()
 
 
 def infer_dialect(df: DataFrame, text_col: str) -> DataFrame:
@@ -66,11 +116,13 @@ def infer_dialect(df: DataFrame, text_col: str) -> DataFrame:
     cut, truncated = prefix(F.coalesce(df[text_col], F.lit("")), MOST_CHARS)
     step = df.withColumns({"_cut": cut, "_truncated": truncated}).withColumn("_normal", norm_match(F.col("_cut")))
     step = step.withColumns({"_script": presence_tag(F.col("_cut"), F.col("_normal")), "_romanised": norm_romanised(F.col("_normal"))})
-    step = step.withColumn("_best", best_cue(F.col("_normal"), F.col("_romanised")))
+    step = step.withColumn("_fold", best_cue(F.col("_normal"), F.col("_romanised")))
+    facts = F.array(*[F.struct(*(F.lit(x).alias(n) for x, n in zip(c[1:], ("label", "region", "candidate", "source"), strict=True))) for c in CUES])
+    step = step.withColumns({"_best": F.get(facts, F.col("_fold.at")), "_score": F.col("_fold.score")})
     missing, best = F.col("_normal") == "", F.col("_best")
     floor = F.when(best["label"].isin(*CURATED_LABELS), CURATED_FLOOR).otherwise(FLOOR)
-    suggested = ~missing & (best["score"] >= floor)
-    score = F.when(~missing, best["score"])
+    suggested = ~missing & (F.col("_score") >= floor)
+    score = F.when(~missing, F.col("_score"))
     return step.withColumns({
         "status": F.when(missing, "missing_transcript").when(suggested, "suggested").otherwise("unresolved"),
         "source": F.when(suggested, best["source"]).otherwise("transcript_match"),
@@ -83,7 +135,7 @@ def infer_dialect(df: DataFrame, text_col: str) -> DataFrame:
         "input_truncated": F.col("_truncated"),
         "method": F.lit("cue_match"),
         "confidence": score,
-    }).drop("_cut", "_truncated", "_normal", "_script", "_romanised", "_best")
+    }).drop("_cut", "_truncated", "_normal", "_script", "_romanised", "_fold", "_best", "_score")
 
 
 def region_of(label: Column) -> Column:

@@ -18,41 +18,46 @@ from .dialect import infer_dialect, region_of
 RESOLVE_FLOOR, BOOST, PENALTY = 0.72, 0.08, 0.18
 
 
-def parse_answer(raw: Column, transcript: Column) -> Column:
-    """struct(dialect, confidence, cues, error) of a classifier's JSON answer.
+def parse_answers(df: DataFrame, raw: Column, transcript: Column) -> DataFrame:
+    """Adds answer_dialect, answer_confidence, answer_cues and answer_error of a classifier's raw JSON answer.
 
     The answer must be an object with exactly confidence, cues and dialect; the dialect known or unresolved; the
     confidence a number in [0, 1]; cues strings that stand in the transcript word for word; and a regional
-    dialect needs at least one, in Bengali script or, in a romanised transcript, with a known romanised word.
+    dialect needs at least one, each in Bengali script or, in a romanised transcript, with a known romanised
+    word.  A null answer is a failed call.  Steps are columns of their own, so that each is worked out once.
     """
-    body = strip(raw)
-    value = F.try_parse_json(body)
-    is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
-    keys = F.array_sort(F.json_object_keys(body))
-    dialect = F.try_variant_get(value, "$.dialect", "string")
-    is_text = F.coalesce(F.schema_of_variant(F.try_variant_get(value, "$.dialect", "variant")) == "STRING", F.lit(False))
-    number_kind = F.schema_of_variant(F.try_variant_get(value, "$.confidence", "variant"))
-    is_number = F.coalesce(number_kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)"), F.lit(False))
-    confidence = F.try_variant_get(value, "$.confidence", "double")
-    cue_kind = F.schema_of_variant(F.try_variant_get(value, "$.cues", "variant"))
-    are_texts = F.coalesce(cue_kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
-    cues = F.filter(F.transform(F.try_variant_get(value, "$.cues", "array<string>"), strip), lambda c: c != "")
-    regional = ~dialect.isin("unresolved", "dhaka")
-    romanised = presence_tag(transcript, norm_match(transcript)) == "banglish"
-    native = F.forall(cues, lambda c: has_bengali_script(c))
+    part = lambda name: F.try_variant_get("_value", f"$.{name}", "variant")
+    step = df.withColumns({"_body": strip(raw), "_text": transcript})
+    step = step.withColumns({"_value": F.try_parse_json("_body"), "_keys": F.concat_ws(",", F.array_sort(F.json_object_keys("_body"))), "_match": norm_match(F.col("_text"))})
+    step = step.withColumns({
+        "_is_object": F.coalesce(F.schema_of_variant("_value").startswith("OBJECT"), F.lit(False)),
+        "_is_text": F.coalesce(F.schema_of_variant(part("dialect")) == "STRING", F.lit(False)),
+        "_is_number": F.coalesce(F.schema_of_variant(part("confidence")).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)"), F.lit(False)),
+        "_are_texts": F.coalesce(F.schema_of_variant(part("cues")).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False)),
+        "answer_dialect": F.try_variant_get("_value", "$.dialect", "string"),
+        "answer_confidence": F.try_variant_get("_value", "$.confidence", "double"),
+        "answer_cues": F.filter(F.transform(F.try_variant_get("_value", "$.cues", "array<string>"), strip), lambda c: c != ""),
+        "_romanised": presence_tag(F.col("_text"), F.col("_match")) == "banglish",
+    })
+    known = lambda c: F.size(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda t: t.isin(*VARIANTS))) > 0
+    step = step.withColumns({
+        "_regional": ~F.col("answer_dialect").isin("unresolved", "dhaka"),
+        "_outside": F.exists("answer_cues", lambda c: ~F.contains(F.col("_text"), c)),
+        "_foreign": F.exists("answer_cues", lambda c: ~has_bengali_script(c) & ~(F.col("_romanised") & known(c))),
+    })
     error = (
-        F.when(raw.isNull(), "provider_error")
-        .when(value.isNull() & (F.coalesce(body, F.lit("")) != "null"), "not_json")
-        .when(~is_object, "not_object")
-        .when(F.concat_ws(",", keys) != "confidence,cues,dialect", "wrong_keys")
-        .when(~is_text | ~dialect.isin("unresolved", *REGIONS), "unknown_dialect")
-        .when(~is_number | (confidence < 0) | (confidence > 1), "bad_confidence")
-        .when(~are_texts, "bad_cues")
-        .when(F.exists(cues, lambda c: ~F.contains(transcript, c)), "cue_not_in_transcript")
-        .when(regional & (F.size(cues) == 0), "no_cue")
-        .when(regional & ~native & ~romanised, "cue_not_bengali")
+        F.when(F.col("_body").isNull(), "provider_error")
+        .when(F.col("_value").isNull() & (F.col("_body") != "null"), "not_json")
+        .when(~F.col("_is_object"), "not_object")
+        .when(F.col("_keys") != "confidence,cues,dialect", "wrong_keys")
+        .when(~F.col("_is_text") | ~F.col("answer_dialect").isin("unresolved", *REGIONS), "unknown_dialect")
+        .when(~F.col("_is_number") | (F.col("answer_confidence") < 0) | (F.col("answer_confidence") > 1), "bad_confidence")
+        .when(~F.col("_are_texts"), "bad_cues")
+        .when(F.col("_outside"), "cue_not_in_transcript")
+        .when(F.col("_regional") & (F.size("answer_cues") == 0), "no_cue")
+        .when(F.col("_regional") & F.col("_foreign"), "cue_not_bengali")
     )
-    return F.struct(dialect.alias("dialect"), confidence.alias("confidence"), cues.alias("cues"), error.alias("error"), (regional & ~native & romanised).alias("check_romanised"))
+    return step.withColumn("answer_error", error).drop("_body", "_text", "_value", "_keys", "_match", "_is_object", "_is_text", "_is_number", "_are_texts", "_romanised", "_regional", "_outside", "_foreign")
 
 
 def fuse(df: DataFrame, classifier: Column, confidence: Column) -> DataFrame:
@@ -78,13 +83,13 @@ def resolve_dialect(df: DataFrame, text_col: str, raw_col: str | None = None, co
     base = infer_dialect(df, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     raw = F.col(raw_col) if raw_col else F.lit(None).cast("string")
-    step = base.withColumn("_answer", parse_answer(raw, text)).withColumn("_cue_ok", F.forall(F.col("_answer.cues"), lambda c: has_bengali_script(c) | (F.size(F.filter(F.split(F.lower(c), "[^A-Za-z']+"), lambda t: t.isin(*VARIANTS))) > 0)))
-    error = F.coalesce(F.col("_answer.error"), F.when(F.col("_answer.check_romanised") & ~F.col("_cue_ok"), F.lit("cue_not_bengali")))
+    step = parse_answers(base, raw, text)
+    error = F.col("answer_error")
     status = F.when(F.col("status") == "missing_transcript", "skipped_missing_transcript").when(F.lit(not configured or raw_col is None), "not_configured").when(error == "provider_error", "provider_error").when(error.isNotNull(), "parse_error").otherwise("ok")
     step = step.withColumn("classifier_status", status)
     ok = F.col("classifier_status") == "ok"
-    answer = F.when(F.col("_answer.dialect") != "unresolved", F.col("_answer.dialect"))
-    given = clamp_score(F.col("_answer.confidence"), 3)
+    answer = F.when(F.col("answer_dialect") != "unresolved", F.col("answer_dialect"))
+    given = clamp_score(F.col("answer_confidence"), 3)
     step = fuse(step.withColumns({"_dialect": F.when(ok, answer), "classifier_confidence": F.when(ok, given)}), F.col("_dialect"), F.col("classifier_confidence"))
     resolved, region = ok & F.col("resolved"), region_of(F.col("_dialect"))
     method = F.when(F.col("agreement") == "agree", "combined").otherwise("vertex_classifier")
@@ -98,9 +103,9 @@ def resolve_dialect(df: DataFrame, text_col: str, raw_col: str | None = None, co
         "speaker_region": F.when(resolved, region).when(~ok, F.col("speaker_region")),
         "match_score": F.when(ok, F.col("fused_confidence")).otherwise(F.col("match_score")),
         "confidence": F.when(ok, F.col("fused_confidence")).otherwise(F.col("match_score")),
-        "classifier_dialect": F.when(ok, F.col("_answer.dialect")),
-        "cues": F.when(ok, F.col("_answer.cues")).otherwise(F.array().cast("array<string>")),
+        "classifier_dialect": F.when(ok, F.col("answer_dialect")),
+        "cues": F.when(ok, F.col("answer_cues")).otherwise(F.array().cast("array<string>")),
         "agreement": F.when(ok, F.col("agreement")).otherwise("none"),
         "resolve_threshold": F.when(ok, RESOLVE_FLOOR).otherwise(FLOOR),
-    }).drop("_answer", "_cue_ok", "_dialect", "fused_confidence", "resolved")
+    }).drop("answer_dialect", "answer_confidence", "answer_cues", "answer_error", "_dialect", "fused_confidence", "resolved")
 
