@@ -80,7 +80,10 @@ def docx_text(content: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file_extension, bytes, kind, text, error): the text of text and DOCX files; others have a null text."""
+    """(path, file_extension, bytes, kind, text, error): the text of text and DOCX files; others have a null text.
+
+    Empty files give no row: the binary reader skips them.
+    """
     files = read_files(spark, path).withColumn("file_extension", extension(F.col("path")))
     error = intake_error(F.col("file_extension"), F.col("length"))
     kind = intake_kind(F.col("file_extension"))
