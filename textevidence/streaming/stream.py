@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -25,17 +25,22 @@ def stream_fields(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return extract_fields(docs, id_col, text_col)
 
 
+def _time(events: DataFrame, name: str) -> Column:
+    """The event time; a stream's watermark needs a time with zone (the session's)."""
+    return F.col(name).cast("timestamp") if events.isStreaming else F.col(name)
+
+
 def windowed_counts(events: DataFrame, time_col: str = "ts", late: str = "2 days", window: str = "1 day") -> DataFrame:
     """(window_start, product, events, consented): tumbling windows; what comes later than ``late`` is left out.
     Works on streams and on tables (where nothing is late)."""
-    timed = events.withColumn("_t", F.col(time_col)).withWatermark("_t", late)
+    timed = events.withColumn("_t", _time(events, time_col)).withWatermark("_t", late)
     out = timed.groupBy(F.window("_t", window), "product").agg(F.count("*").alias("events"), F.count_if(F.coalesce(F.col("consent"), F.lit(False))).alias("consented"))
     return out.select(F.col("window.start").alias("window_start"), "product", "events", "consented")
 
 
 def deduplicated(events: DataFrame, keys: list[str], time_col: str = "ts", late: str = "7 days") -> DataFrame:
     """Each combination of ``keys`` once within the watermark; state older than ``late`` is dropped."""
-    return events.withColumn("_t", F.col(time_col)).withWatermark("_t", late).dropDuplicatesWithinWatermark(keys).drop("_t")
+    return events.withColumn("_t", _time(events, time_col)).withWatermark("_t", late).dropDuplicatesWithinWatermark(keys).drop("_t")
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
