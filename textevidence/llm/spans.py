@@ -6,7 +6,8 @@ is cut from the content: every window of ``span`` characters belongs to the smal
 ``GRAM``-grams (its anchor), and the neighbouring windows of one anchor are a unit.  Equal windows always have
 equal anchors at equal offsets, so all of a window's copies meet in one group, and grouping misses nothing.
 Inside a group units are compared by digest; where a digest stands alone among others, its windows are
-compared one by one.  No pairs of records are formed; a group's cost is linear in its size.
+compared one by one.  No pairs of records are formed; a group's cost is linear in its size, and each slice of
+texts sends equal units once, so a text that a third of all records repeat makes no hot group.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +26,6 @@ from .common import ragged, slices
 #: Least length of a shared span; characters of the gram whose hash anchors a window.
 SPAN, GRAM = 200, 100
 
-#: Characters of units that a task compares at once; a larger group is taken whole, by offsets.
-GROUP_CHARS = 6_000_000
-
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
@@ -155,42 +155,75 @@ def units(ids: np.ndarray, texts: list[str], span: int, gram: int) -> pa.RecordB
     )
 
 
-def compare(doc: np.ndarray, anchor: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, page: np.ndarray, context: pa.Array, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_id, start, end) of the stretches whose windows another record has too, of whole groups of units."""
+#: What a unit row stands for: a unit of one record; a unit that several records of its slice have; a stretch
+#: that is known to be shared (it has no context, and its windows are those of low..high).
+LONE, COMMON, KNOWN = 0, 1, 2
+_MANY = np.iinfo(np.int64).min  # stands for the other records of a common unit
+
+
+def unit_hashes(anchor: np.ndarray, low: np.ndarray, page: np.ndarray, context: pa.Array) -> tuple[Rolling, np.ndarray, np.ndarray]:
+    """Rolling hashes of the contexts, where each begins, and a digest of each unit."""
     codes, lens = unpack(page, context)
     begin = np.cumsum(lens) - lens
     rolling = Rolling(codes)
+    return rolling, begin, _mix(rolling.of(begin, begin + lens) + _mix(anchor.view(np.uint64)) + _mix(low.astype(np.int64).view(np.uint64)) * np.uint64(3))
+
+
+def several(keys: np.ndarray, docs: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows' keys more than one record has, or a common unit; and the first row of each key."""
+    n = len(keys)
+    if common is not None and common.any():
+        keys, docs = np.concatenate((keys, keys[common])), np.concatenate((docs, np.full(int(common.sum()), _MANY)))
+    order = np.argsort(keys, kind="stable")
+    k, x = keys[order], docs[order]
+    new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    size = np.diff(np.concatenate((new, [len(k)])))
+    many = np.minimum.reduceat(x, new) != np.maximum.reduceat(x, new)
+    out, first = np.empty(len(k), bool), np.zeros(len(k), bool)
+    out[order] = np.repeat(many, size)
+    first[order[new]] = True
+    return out[:n], first[:n]
+
+
+def thinned(made: pa.RecordBatch) -> pa.RecordBatch:
+    """Units of one slice, pre-aggregated: of equal units of several records one goes on as common with its
+    context, the others as known stretches.  However many copies a text has, each slice sends its units once."""
+    doc, anchor, at, low, high, page = (np.asarray(made.column(k)) for k in range(6))
+    _, _, digest = unit_hashes(anchor, low, page, made.column(6))
+    shared, first = several(digest, doc)
+    kind = np.where(~shared, LONE, np.where(first, COMMON, KNOWN)).astype(np.int8)
+    known = kind == KNOWN
+    context = pa.compute.if_else(pa.array(known), pa.scalar(b"", pa.binary()), made.column(6)) if known.any() else made.column(6)
+    return pa.RecordBatch.from_arrays([*made.columns[:5], pa.array(np.where(known, np.int16(0), page)), context, pa.array(kind)], names=[*made.schema.names, "kind"])
+
+
+def compare(doc: np.ndarray, anchor: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, page: np.ndarray, kind: np.ndarray, context: pa.Array, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, start, end) of the stretches whose windows another record has too, of whole groups of units."""
+    known = kind == KNOWN
+    found = [(doc[known], (at + low)[known], (at + high)[known] + span)]
+    rest = np.flatnonzero(~known)
+    if len(rest) < len(doc):
+        doc, anchor, at, low, high, page, kind = (x[rest] for x in (doc, anchor, at, low, high, page, kind))
+        context = context.take(pa.array(rest))
+    if not len(doc):
+        return found[0]
+    rolling, begin, unit = unit_hashes(anchor, low, page, context)
+    common = kind == COMMON
     group = _mix(anchor.view(np.uint64))
-    unit = _mix(rolling.of(begin, begin + lens) + group + _mix(low.astype(np.int64).view(np.uint64)) * np.uint64(3))
-
-    def several(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys more than one record has; and the first row of each key."""
-        order = np.argsort(keys, kind="stable")
-        k, x = keys[order], docs[order]
-        new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        size = np.diff(np.concatenate((new, [len(k)])))
-        many = np.minimum.reduceat(x, new) != np.maximum.reduceat(x, new)
-        out, first = np.empty(len(k), bool), np.zeros(len(k), bool)
-        out[order] = np.repeat(many, size)
-        first[order[new]] = True
-        return out, first
-
-    shared, first = several(unit, doc)
-    open_ = np.flatnonzero(several(group, doc)[0] & (~shared | first))
+    shared, first = several(unit, doc, common)
     # Left are units that stand alone, and one of each shared unit, in groups with other units.
+    open_ = np.flatnonzero(several(group, doc, common)[0] & (~shared | first))
+    found.append((doc[shared], (at + low)[shared], (at + high)[shared] + span))
     if len(open_):
-        alone = several(group[open_], np.where(shared[open_], 0, 1))[0] | ~shared[open_]
-        open_ = open_[alone]
-    found = [(doc[shared], (at + low)[shared], (at + high)[shared] + span)]
+        open_ = open_[several(group[open_], np.where(shared[open_], 0, 1))[0] | ~shared[open_]]
     if len(open_):
+        open_ = open_[np.argsort(group[open_], kind="stable")]
         windows = (high - low + 1).astype(np.int64)[open_]
-        bounds = [0, *(np.flatnonzero(np.diff(np.cumsum(windows) // 4_000_000)) + 1).tolist(), len(open_)]
-        if len(bounds) > 2 and len(np.unique(group[open_])) > 1:  # cut between groups only
-            order = np.argsort(group[open_], kind="stable")
-            open_, windows = open_[order], windows[order]
-            new = np.flatnonzero(np.concatenate(([True], group[open_][1:] != group[open_][:-1])))
-            bounds = [0, *sorted({int(new[np.searchsorted(new, b, "right") - 1]) for b in bounds[1:-1]} - {0}), len(open_)]
-        for a, b in zip(bounds, bounds[1:], strict=False) if len(np.unique(group[open_])) > 1 else [(0, len(open_))]:
+        new = np.flatnonzero(np.concatenate(([True], group[open_][1:] != group[open_][:-1])))
+        wanted = np.flatnonzero(np.diff(np.cumsum(windows) // 4_000_000)) + 1
+        cuts = {int(new[np.searchsorted(new, b, "right") - 1]) for b in wanted.tolist()} - {0}  # between groups only
+        bounds = [0, *sorted(cuts), len(open_)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
             rows, count = open_[a:b], windows[a:b]
             who = np.repeat(rows, count)
             offset = ragged(low[rows].astype(np.int64), count)
@@ -207,6 +240,19 @@ def compare(doc: np.ndarray, anchor: np.ndarray, at: np.ndarray, low: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _shut(batch: pa.RecordBatch) -> bytes:
+    """Units as compressed bytes: neighbouring units of a record share text, which a row's own compression can't see."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def _open(blob: pa.Buffer) -> pa.RecordBatch:
+    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)) as reader:
+        return reader.read_next_batch()
+
+
 def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unite overlapping and touching stretches of each record."""
     order = np.lexsort((start, doc))
@@ -229,43 +275,49 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeat an id are one record: what only they have in common is not shared.
     """
 
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 8 * partitions  # a task holds the units of one bucket at a time
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per bucket of anchors: the bucket's units, by columns and compressed."""
         for batch in batches:
-            for part in slices(batch, "_text", 4_000_000):
-                if (made := units(np.asarray(part.column(0)), part.column(1).to_pylist(), span, gram)) is not None:
-                    yield made
+            for part in slices(batch, "_text", 6_000_000):
+                made = thinned(units(np.asarray(part.column(0)), part.column(1).to_pylist(), span, gram))
+                where = (_mix(np.asarray(made.column(1)).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(where, kind="stable")
+                made, where = made.take(pa.array(order)), where[order]
+                first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+                last = np.concatenate((first[1:], [len(where)]))
+                blobs = [_shut(made.slice(a, b - a)) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(where[first]), pa.array(blobs, pa.binary())], names=["bucket", "units"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        now = -1
 
-        def run(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            if not t.num_rows:
-                return None
-            columns = [t.column(c).to_numpy() for c in ("doc_id", "anchor", "at", "low", "high", "page")]
+        def run() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            columns = [t.column(c).to_numpy() for c in ("doc_id", "anchor", "at", "low", "high", "page", "kind")]
             doc, start, end = _merge(*compare(*columns, t.column("context").chunk(0), span, gram))
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "start", "end"])
 
         for batch in batches:
-            held.append(batch)
-            size += batch.column(6).nbytes
-            if size > GROUP_CHARS:
-                keys = np.concatenate([np.asarray(b.column(1)) for b in held])
-                whole = int(np.searchsorted(keys, keys[-1], "left")) if keys[0] <= keys[-1] else 0
-                t = pa.Table.from_batches(held).combine_chunks()
-                if whole:
-                    if (out := run(t.slice(0, whole).to_batches())) is not None:
-                        yield out
-                    held = t.slice(whole).to_batches()
-                    size = sum(b.column(6).nbytes for b in held) if len(held) > 1 or whole < len(keys) // 2 else 0
-        if held and (out := run(held)) is not None:
-            yield out
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != now and held:
+                    yield run()
+                now = bucket
+                held.append(_open(blob.as_buffer()))
+        if held:
+            yield run()
 
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("_text"))
     texts = texts.where(F.length("_text") >= span).where("doc_id is not null")
-    rows = texts.select("doc_id", "_text").mapInArrow(cut, "doc_id long, anchor long, at int, low short, high short, page short, context binary")
-    stretches = rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(match, "doc_id long, start int, end int")
+    rows = texts.select("doc_id", "_text").mapInArrow(cut, "bucket int, units binary")
+    # Buckets are dealt out evenly by their own number; a digest of it would leave some tasks with twice the work.
+    dealt = rows.repartitionById(partitions, F.pmod("bucket", F.lit(partitions)))
+    stretches = dealt.sortWithinPartitions("bucket").mapInArrow(match, "doc_id long, start int, end int")
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = stretches.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
