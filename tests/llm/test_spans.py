@@ -83,3 +83,16 @@ def test_packing_loses_nothing():
     back, sizes = spans.unpack(page, array)
     assert back.tolist() == codes.tolist() and sizes.tolist() == lens.tolist()
     assert (page[:200] == 19).any() and (page == -1).any()
+
+
+def test_long_texts_come_in_pieces(monkeypatch, spark):
+    rng = random.Random(8)
+    base = "".join(rng.choices("abcdef ", k=3000))
+    docs = [(1, base), (2, base[500:1900]), (3, "x" + base[1000:1300])]
+    want = brute(docs, 40)
+    ids, texts, bases = spans.in_pieces([1, 2, 3], [t for _, t in docs], 40, size=300)
+    assert len(texts) > 10 and all(docs[i - 1][1][b : b + len(t)] == t for i, t, b in zip(ids, texts, bases))
+    made = spans.thinned(spans.units(ids, texts, 40, 20, bases))
+    columns = [np.asarray(made.column(k)) for k in (0, 1, 2, 3, 4, 5, 7)]
+    doc, start, end = spans._merge(*spans.compare(*columns, made.column(6), 40, 20))
+    assert {tuple(map(int, x)) for x in zip(doc, start, end)} == want

@@ -26,6 +26,9 @@ from .common import ragged, slices
 #: Least length of a shared span; characters of the gram whose hash anchors a window.
 SPAN, GRAM = 200, 100
 
+#: Characters of text in one piece and in one slice: a worker's memory is about 100 bytes a character of a slice.
+PIECE, SLICE = 1_000_000, 3_000_000
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
@@ -131,7 +134,15 @@ def unpack(page: np.ndarray, context: pa.Array) -> tuple[np.ndarray, np.ndarray]
     return out, lens
 
 
-def units(ids: np.ndarray, texts: list[str], span: int, gram: int) -> pa.RecordBatch | None:
+def in_pieces(ids: list[int], texts: list[str], span: int, size: int = PIECE) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Ids, texts and offsets, with texts of more than ``size`` characters cut; each window lies in one piece."""
+    if all(len(t) <= size + span for t in texts):
+        return np.array(ids, np.int64), texts, np.zeros(len(texts), np.int64)
+    cut = [(i, t[a : a + size + span - 1], a) for i, t in zip(ids, texts, strict=True) for a in range(0, max(1, len(t) - span + 1), size)]
+    return np.array([i for i, _, _ in cut], np.int64), [t for _, t, _ in cut], np.array([a for _, _, a in cut], np.int64)
+
+
+def units(ids: np.ndarray, texts: list[str], span: int, gram: int, bases: np.ndarray | None = None) -> pa.RecordBatch:
     """(doc_id, anchor, at, low, high, page, context): one row per unit.  Its windows start at low..high, counted from
     the anchor gram, which starts at ``at``; context is the text around the gram that the windows cover."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -150,7 +161,7 @@ def units(ids: np.ndarray, texts: list[str], span: int, gram: int) -> pa.RecordB
     page, offsets, data = pack(codes, np.stack((left, at + gram), 1).ravel(), np.stack((at - left, right - at - gram), 1).ravel())
     context = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids[d]), pa.array(hashes[at].view(np.int64)), pa.array((at - starts[d]).astype(np.int32)), pa.array((left - at).astype(np.int16)), pa.array((window[last] - at).astype(np.int16)), pa.array(page), context],
+        [pa.array(ids[d]), pa.array(hashes[at].view(np.int64)), pa.array((at - starts[d] + (0 if bases is None else bases[d])).astype(np.int32)), pa.array((left - at).astype(np.int16)), pa.array((window[last] - at).astype(np.int16)), pa.array(page), context],
         names=["doc_id", "anchor", "at", "low", "high", "page", "context"],
     )
 
@@ -240,6 +251,15 @@ def compare(doc: np.ndarray, anchor: np.ndarray, at: np.ndarray, low: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _portions(part: pa.RecordBatch, span: int) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """The pieces of a slice; a slice of one very long text comes in several portions."""
+    ids, texts, bases = in_pieces(part.column(0).to_pylist(), part.column(1).to_pylist(), span)
+    ends = np.cumsum([len(t) for t in texts]) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield ids[a:b], texts[a:b], bases[a:b]
+
+
 def _shut(batch: pa.RecordBatch) -> bytes:
     """Units as compressed bytes: neighbouring units of a record share text, which a row's own compression can't see."""
     sink = pa.BufferOutputStream()
@@ -282,8 +302,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per bucket of anchors: the bucket's units, by columns and compressed."""
         for batch in batches:
-            for part in slices(batch, "_text", 6_000_000):
-                made = thinned(units(np.asarray(part.column(0)), part.column(1).to_pylist(), span, gram))
+            for made in (thinned(units(ids, texts, span, gram, bases)) for part in slices(batch, "_text", SLICE) for ids, texts, bases in _portions(part, span)):
                 where = (_mix(np.asarray(made.column(1)).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(where, kind="stable")
                 made, where = made.take(pa.array(order)), where[order]
