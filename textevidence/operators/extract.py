@@ -8,6 +8,7 @@ Everything found is a candidate for review, never a verified fact.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -94,13 +95,16 @@ DATE_SHAPES: list[tuple[re.Pattern[str], Callable[[re.Match[str]], str | None]]]
 
 def find_dates(text: str) -> list[tuple[str, Span]]:
     """(ISO date, span) of the valid dates, in order; of overlapping ones the earlier shape's stays."""
-    taken: list[tuple[str, Span]] = []
+    spans: list[Span] = []
+    dates: list[str] = []
     for pattern, to_iso in DATE_SHAPES:
         for m in pattern.finditer(text):
             iso = to_iso(m)
-            if iso and all(m.end() <= a or b <= m.start() for _, (a, b) in taken):
-                taken.append((iso, m.span()))
-    return sorted(taken, key=lambda x: x[1][0])
+            at = bisect_left(spans, m.span())
+            if iso and (at == 0 or spans[at - 1][1] <= m.start()) and (at == len(spans) or m.end() <= spans[at][0]):
+                spans.insert(at, m.span())
+                dates.insert(at, iso)
+    return list(zip(dates, spans, strict=True))
 
 
 def check_digit(characters: str) -> str:
@@ -164,9 +168,9 @@ class Scan:
     def date_behind(self, name: str, label: re.Pattern[str]) -> dict | None:
         """The first label with a date that begins within 60 characters behind it."""
         for m in label.finditer(self.text):
-            for iso, span in self.dates:
-                if m.end() <= span[0] <= m.end() + 60:
-                    return self.field(name, iso, span, _strip(m.group()))
+            at = bisect_left(self.dates, m.end(), key=lambda d: d[1][0])
+            if at < len(self.dates) and self.dates[at][1][0] <= m.end() + 60:
+                return self.field(name, *self.dates[at], _strip(m.group()))
         return None
 
 
