@@ -83,13 +83,39 @@ def _month(name: str) -> int:
     return 9 if low.startswith("sept") else MONTHS.index(low[:3]) + 1 if low[:3] in MONTHS else 0
 
 
-# Date shapes in the order of their right to a place; each with the groups of day, month and year.
-DATE_SHAPES: list[tuple[re.Pattern[str], Callable[[re.Match[str]], str | None]]] = [
-    (_re(r"(?<![0-9])([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})(?![0-9])"), lambda m: iso_date(int(m[3]), int(m[2]), int(m[1]))),
-    (_re(r"(?<![0-9])([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4}|[0-9]{2})(?![0-9])"), lambda m: iso_date(int(m[1]), int(m[2]), full_year(m[3]))),
-    (_re(r"(?<![0-9])([0-9]{1,2})\s*(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?,?\s+([0-9]{4})(?![0-9])", _I), lambda m: iso_date(int(m[1]), _month(m[2]), int(m[3]))),
-    (_re(r"\b([A-Za-z]{3,9})\.?\s+([0-9]{1,2})(?:st|nd|rd|th)?,?\s+([0-9]{4})(?![0-9])", _I), lambda m: iso_date(int(m[2]), _month(m[1]), int(m[3]))),
-    *((_re(rf"(?<![0-9])([0-9]{{1,2}})\s+{name}\s+([0-9]{{4}})(?![0-9])"), lambda m, n=number: iso_date(int(m[1]), n, int(m[2]))) for name, number in BENGALI_MONTHS),
+_BENGALI_MONTH = dict(BENGALI_MONTHS)
+_DAY_YEAR = _re(r"(?<![0-9])([0-9]{1,2})(?:st|nd|rd|th)?,?\s+([0-9]{4})(?![0-9])", _I)
+_MONTH_BEFORE = _re(r"(?<![A-Za-z0-9_])([A-Za-z]{3,9})\.?\s+\Z")
+
+
+def _shaped(pattern: str, day: int, month: int, year: int, flags: int = 0) -> Callable[[str], Iterator[tuple[str | None, Span]]]:
+    """A finder of dates of one shape; the numbers are the groups of day, month and year."""
+    compiled = _re(pattern, flags)
+
+    def find(text: str) -> Iterator[tuple[str | None, Span]]:
+        for m in compiled.finditer(text):
+            name = m[month]
+            number = int(name) if name.isdigit() else _BENGALI_MONTH.get(name) or _month(name)
+            yield iso_date(int(m[day]), number, full_year(m[year])), m.span()
+
+    return find
+
+
+def _month_first(text: str) -> Iterator[tuple[str | None, Span]]:
+    """Month, day, year: looked for from the day on, as nearly every word could be a month's name."""
+    for m in _DAY_YEAR.finditer(text):
+        from_ = max(0, m.start() - 60)
+        if before := _MONTH_BEFORE.search(text[from_ : m.start()]):
+            yield iso_date(int(m[1]), _month(before[1]), int(m[2])), (from_ + before.start(), m.end())
+
+
+# Date shapes in the order of their right to a place.
+DATE_SHAPES = [
+    _shaped(r"(?<![0-9])([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})(?![0-9])", 3, 2, 1),
+    _shaped(r"(?<![0-9])([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4}|[0-9]{2})(?![0-9])", 1, 2, 3),
+    _shaped(r"(?<![0-9])([0-9]{1,2})\s*(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?,?\s+([0-9]{4})(?![0-9])", 1, 2, 3, _I),
+    _month_first,
+    _shaped(rf"(?<![0-9])([0-9]{{1,2}})\s+({'|'.join(name for name, _ in BENGALI_MONTHS)})\s+([0-9]{{4}})(?![0-9])", 1, 2, 3),
 ]
 
 
@@ -97,12 +123,11 @@ def find_dates(text: str) -> list[tuple[str, Span]]:
     """(ISO date, span) of the valid dates, in order; of overlapping ones the earlier shape's stays."""
     spans: list[Span] = []
     dates: list[str] = []
-    for pattern, to_iso in DATE_SHAPES:
-        for m in pattern.finditer(text):
-            iso = to_iso(m)
-            at = bisect_left(spans, m.span())
-            if iso and (at == 0 or spans[at - 1][1] <= m.start()) and (at == len(spans) or m.end() <= spans[at][0]):
-                spans.insert(at, m.span())
+    for shape in DATE_SHAPES:
+        for iso, (start, end) in shape(text):
+            at = bisect_left(spans, (start, end))
+            if iso and (at == 0 or spans[at - 1][1] <= start) and (at == len(spans) or end <= spans[at][0]):
+                spans.insert(at, (start, end))
                 dates.insert(at, iso)
     return list(zip(dates, spans, strict=True))
 
@@ -129,24 +154,40 @@ def phone_numbers(text: str) -> list[tuple[str, Span]]:
     return out
 
 
+_BENGALI_DIGIT = re.compile("[০-৯]+")
+
+# For each label: if none of these stands in the lower-case text, the label does not, either.
+_KEYS = {
+    DOB: ["birth", "ob", "o.b", "জন্ম"], ISSUED: ["issue", "তারিখ"], EXPIRES: ["exp", "valid", "মেয়াদ", "মেয\u09bcাদ"], NID_LABEL: ["national", "id", "i.d", "পরিচ", "এনআইডি"], NID_CONTEXT: ["national", "id", "i.d", "পরিচ", "এনআইডি"],
+    HOLDER: ["name", "নাম"], LICENCE_LABEL: ["licen", "লাইসেন্স"], PROPRIETOR: ["proprietor", "owner", "স্বত্বাধিকারী", "প্রোপ্রাইটর", "মালিক"], BUSINESS: ["name", "নাম"], PASSPORT_LABEL: ["passport", "পাসপোর্ট"],
+    INVOICE_LABEL: ["invoice", "bill", "receipt", "voucher", "memo", "নং"], INVOICE_DATE: ["date", "তারিখ"], TOTAL_LABEL: ["total", "amount", "net", "মোট"], AMOUNT: ["৳", "/-", "টাকা", "bdt", "tk", "taka"], EMAIL: ["@"],
+}
+
+
 @dataclass
 class Scan:
     """One text under extraction: the raw text, its ASCII-digit form of the same length, and its dates."""
 
     raw: str
     text: str = ""
+    low: str = ""
     dates: list[tuple[str, Span]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.text = self.raw.translate(_D)
+        self.text = self.raw if self.raw.isascii() else _BENGALI_DIGIT.sub(lambda m: m.group().translate(_D), self.raw)
+        self.low = self.text.lower()
         self.dates = find_dates(self.text)
 
+    def hits(self, label: re.Pattern[str]) -> Iterator[re.Match[str]]:
+        """Places of a label; a text without any of its key words is not scanned."""
+        return label.finditer(self.text) if any(k in self.low for k in _KEYS[label]) else iter(())
+
     def field(self, name: str, value: str, span: Span, label: str | None) -> dict:
         return {"field": name, "value": value, "raw": self.raw[slice(*span)], "span": span, "source_label": label, "pattern_strength": "unlabelled" if label is None else "labelled", "verification_status": "candidate_only"}
 
     def behind(self, label: re.Pattern[str], value: re.Pattern[str], reach: int) -> tuple[str, Span, str] | None:
         """The first label with a value right behind it: (value, span, label)."""
-        for m in label.finditer(self.text):
+        for m in self.hits(label):
             at = m.end()
             got = value.match(self.text[at : at + reach])
             if got:
@@ -167,7 +208,7 @@ class Scan:
 
     def date_behind(self, name: str, label: re.Pattern[str]) -> dict | None:
         """The first label with a date that begins within 60 characters behind it."""
-        for m in label.finditer(self.text):
+        for m in self.hits(label):
             at = bisect_left(self.dates, m.end(), key=lambda d: d[1][0])
             if at < len(self.dates) and self.dates[at][1][0] <= m.end() + 60:
                 return self.field(name, *self.dates[at], _strip(m.group()))
@@ -187,8 +228,8 @@ def _plausible_nid(digits: str) -> bool:
 
 
 def _nid_number(scan: Scan) -> tuple[str, Span, str | None] | None:
-    places = [(m.end(), m.end() + 80, _strip(m.group())) for m in NID_LABEL.finditer(scan.text)]
-    if NID_CONTEXT.search(scan.text):
+    places = [(m.end(), m.end() + 80, _strip(m.group())) for m in scan.hits(NID_LABEL)]
+    if next(scan.hits(NID_CONTEXT), None):
         places.append((0, len(scan.text), None))  # without a label a number counts only if the text speaks of such numbers
     for start, stop, label in places:
         window = scan.text[start:stop]
@@ -289,10 +330,10 @@ def invoice(scan: Scan) -> dict:
         fields.append(scan.field("total_amount_bdt", decimal_amount(total[0]), total[1], total[2]))
     else:
         notes.append(_note("invoice_total_missing", "total_amount_bdt", "missing", "no labelled total"))
-    amounts = [(m[g], m.span(g)) for m in AMOUNT.finditer(scan.text) for g in (1 if m[1] is not None else 2,)]
+    amounts = [(m[g], m.span(g)) for m in scan.hits(AMOUNT) for g in (1 if m[1] is not None else 2,)]
     fields += [scan.field("amount_bdt", decimal_amount(a), span, None) for a, span in [x for x in amounts if not total or x[1] != total[1]][:MOST_AMOUNTS]]
     fields += [scan.field("phone", value, span, None) for value, span in phone_numbers(scan.text)[:MOST_PHONES]]
-    fields += [scan.field("email", m.group().lower(), m.span(), None) for m in [*EMAIL.finditer(scan.text)][:MOST_EMAILS]]
+    fields += [scan.field("email", m.group().lower(), m.span(), None) for m in [*scan.hits(EMAIL)][:MOST_EMAILS]]
     return {"schema": "generic_invoice", "fields": sorted(fields, key=lambda f: f["span"][0]), "validations": notes}
 
 

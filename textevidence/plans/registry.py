@@ -33,6 +33,12 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table in fewer parts than there are cores, dealt out evenly before work that is all computing."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def _bengali(c: Column) -> Column:
     return F.translate(c, _EN, _BN)
 
@@ -67,7 +73,7 @@ def _ascii(c: str) -> str:
 
 @query()
 def dialect_by_language(spark: SparkSession, d: str) -> DataFrame:
-    rows = dialect.infer_dialect(_t(spark, d, "corpus_events").select("language", "transcript"), "transcript")
+    rows = dialect.infer_dialect(_spread(_t(spark, d, "corpus_events").select("language", "transcript")), "transcript")
     return rows.groupBy("language", "status", "script_mix").agg(F.count("*").alias("events"), F.round(F.avg("match_score"), 4).alias("mean_score"))
 
 
@@ -106,7 +112,7 @@ def classifier_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dialect_resolved(spark: SparkSession, d: str) -> DataFrame:
-    e = _t(spark, d, "corpus_events").select("event_id", "transcript", "classifier_status", "dialect_label", "classifier_confidence")
+    e = _spread(_t(spark, d, "corpus_events").select("event_id", "transcript", "classifier_status", "dialect_label", "classifier_confidence"))
     raw = F.when(F.col("classifier_status") == "ok", F.to_json(F.struct(F.coalesce("dialect_label", F.lit("unresolved")).alias("dialect"), F.coalesce("classifier_confidence", F.lit(0.5)).alias("confidence"), F.array(F.substring("transcript", 1, 12)).alias("cues"))))
     out = resolver.resolve_dialect(e.select("event_id", "transcript", raw.alias("raw")), "transcript", "raw")
     return out.select("event_id", "status", "dialect_label", "method", "classifier_status", "agreement", F.round("confidence", 6).alias("confidence"))
@@ -215,7 +221,7 @@ select l_orderkey, l_linenumber, (l_linenumber + 40)::varchar as working_hours_p
   case when l_orderkey % 2 = 0 then 'temporary' else 'permanent' end as worker_type, case when l_orderkey % 3 = 0 then 'false' else 'true' end as customer_identity_verified from lineitem"""
 )
 def facts_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    li = _spread(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber"))
     s = F.concat(
         F.lit("A permanent contract of "), (F.col("l_linenumber") + 40).cast("string"), F.lit(" hours a week.\nOvertime is "), F.col("l_linenumber").cast("string"), F.lit(" hrs a day.\nNotice of "), (F.col("l_orderkey") % 10).cast("string"), F.lit(" days"),
         F.when(F.col("l_orderkey") % 2 == 0, F.lit("\nA temporary pass.")).otherwise(F.lit("")), F.when(F.col("l_orderkey") % 3 == 0, F.lit("\nIdentity not verified.")).otherwise(F.lit("\nIdentity verified.")),
@@ -252,7 +258,7 @@ def invoice_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         F.lit("Invoice No: INV-"), key.cast("string"), F.lit("\nInvoice Date: "), F.when(key % 2 == 0, _bengali(F.date_format("o_orderdate", "dd/MM/yyyy"))).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")),
         F.lit("\nGrand Total: Tk "), F.when(key % 3 == 0, _bengali(money)).otherwise(money), F.lit("\nPhone: 017"), F.lpad((key % 100000000).cast("string"), 8, "0"),
     )
-    rows = _t(spark, d, "orders").select("o_orderkey", body.alias("text"))
+    rows = _spread(_t(spark, d, "orders")).select("o_orderkey", body.alias("text"))
     return _wide(extract.extract(rows, "o_orderkey", "text"), "o_orderkey", ["invoice_number", "invoice_date", "total_amount_bdt", "phone"])
 
 
@@ -263,7 +269,7 @@ def dates_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     bengali = F.array(*[F.lit(dict((n, w) for w, n in extract.BENGALI_MONTHS)[n]) for n in range(1, 13)])
     month = F.element_at(months, F.month(day))
     spelled = F.when(key % 5 == 0, F.date_format(day, "yyyy-MM-dd")).when(key % 5 == 1, F.date_format(day, "d.M.yyyy")).when(key % 5 == 2, F.concat(F.dayofmonth(day).cast("string"), F.lit(" "), month, F.lit(" "), F.year(day).cast("string"))).when(key % 5 == 3, F.concat(month, F.lit(" "), F.dayofmonth(day).cast("string"), F.lit(", "), F.year(day).cast("string"))).otherwise(_bengali(F.concat(F.dayofmonth(day).cast("string"), F.lit(" "), F.element_at(bengali, F.month(day)), F.lit(" "), F.year(day).cast("string"))))
-    rows = _t(spark, d, "orders").select("o_orderkey", F.concat(F.lit("seen on "), spelled, F.lit(" by a.b@c.org")).alias("text"))
+    rows = _spread(_t(spark, d, "orders")).select("o_orderkey", F.concat(F.lit("seen on "), spelled, F.lit(" by a.b@c.org")).alias("text"))
     return _wide(extract.extract(rows, "o_orderkey", "text"), "o_orderkey", ["document_date"])
 
 
@@ -325,25 +331,25 @@ with m as (select page_id, unnest(list_slice(regexp_extract_all({_ascii("text")}
 select page_id, lower(e) as value from m"""
 )
 def emails_of_pages(spark: SparkSession, d: str) -> DataFrame:
-    rows = extract.extract_fields(_t(spark, d, "pdf_pages").select("page_id", "text"), "page_id", "text")
+    rows = extract.extract_fields(_spread(_t(spark, d, "pdf_pages").select("page_id", "text")), "page_id", "text")
     return rows.where("field = 'email'").select("page_id", "value")
 
 
 @query()
 def schema_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = extract.extract_fields(_t(spark, d, "pdf_pages").select("page_id", "text"), "page_id", "text")
+    rows = extract.extract_fields(_spread(_t(spark, d, "pdf_pages").select("page_id", "text")), "page_id", "text")
     return rows.groupBy("schema", "field", "pattern_strength").agg(F.count("*").alias("fields"), F.countDistinct("page_id").alias("pages"))
 
 
 @query()
 def schema_notes(spark: SparkSession, d: str) -> DataFrame:
-    rows = extract.extract_notes(_t(spark, d, "pdf_pages").select("page_id", "text"), "page_id", "text")
+    rows = extract.extract_notes(_spread(_t(spark, d, "pdf_pages").select("page_id", "text")), "page_id", "text")
     return rows.groupBy("schema", "code", "status").count()
 
 
 @query()
 def schema_bridge(spark: SparkSession, d: str) -> DataFrame:
-    return facts.schema_candidates(extract.extract_fields(_t(spark, d, "pdf_pages").select("page_id", "text"), "page_id", "text"), "page_id")
+    return facts.schema_candidates(extract.extract_fields(_spread(_t(spark, d, "pdf_pages").select("page_id", "text")), "page_id", "text"), "page_id")
 
 
 # Documents and pages.
@@ -351,7 +357,7 @@ def schema_bridge(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def document_payloads(spark: SparkSession, d: str) -> DataFrame:
-    out = documents.document_payload(_t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    out = documents.document_payload(_spread(_t(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     return out.select("doc_id", "text_preview", "extractable", F.size("candidate_facts").alias("facts"), F.size("structured_fields").alias("schemas"), F.array_join("warnings", " | ").alias("warnings"))
 
 
