@@ -484,7 +484,7 @@ def gold_totals(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.totals(_scored(spark, d)).withColumn("gate_accuracy", F.round("gate_accuracy", 9))
 
 
-@query(_SCORED + "select label, 'dialect label \"' || label || '\" accuracy ' || printf('%.3f', accuracy) || ' < 1 (' || passed::varchar || '/' || total::varchar || ')' as failure from p where accuracy < 1")
+@query(_SCORED + "select label, 'dialect label \"' || label || '\" accuracy ' || printf('%.3f', floor(accuracy * 1000 + 0.5) / 1000) || ' < 1 (' || passed::varchar || '/' || total::varchar || ')' as failure from p where accuracy < 1")
 def gold_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.threshold_failures(evaluation.per_label(_scored(spark, d)))
 
