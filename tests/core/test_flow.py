@@ -139,3 +139,34 @@ def test_streams(spark, tmp_path, data):
     late = stream.deduplicated(events.select("event_id", "ts", "transcript"), ["transcript"])
     stream.write_stream(late, str(tmp_path / "u"), str(tmp_path / "c4")).awaitTermination()
     assert 0 < spark.read.parquet(str(tmp_path / "u")).count() <= spark.read.parquet(str(source)).count()
+
+
+def test_engines(spark):
+    from textevidence.sources import engines
+
+    class FakeEngine:
+        name = "fake"
+
+        def open(self, content, language):
+            if content == b"bad":
+                raise RuntimeError("broken")
+            pages = content.decode().split("|")
+            return len(pages), ((f" {p}  {language}\n", 0.123456) for p in pages)
+
+    files = spark.createDataFrame([("a", bytearray(b"p1|p2|p3")), ("b", bytearray(b"bad")), ("c", bytearray(b"x")), ("d", None)], "path string, content binary")
+    rows = engines.read_pages(files, "fake", FakeEngine, "eng", cap=2).orderBy("path", "page").collect()
+    assert [(r["path"], r["page"], r["text"], r["truncation_reason"]) for r in rows] == [("a", 1, "p1 eng", "page_cap"), ("a", 2, "p2 eng", "page_cap"), ("b", None, None, None), ("c", 1, "x eng", None)]
+    assert rows[2]["error"] == "RuntimeError: broken" and rows[0]["ocr_quality_score"] == 0.1235
+    late = engines.read_pages(files.where("path = 'a'"), "fake", FakeEngine, "eng", budget_ms=0).collect()
+    assert len(late) == 1 and late[0]["truncation_reason"] == "time_budget"
+    with pytest.raises(ValueError, match="language"):
+        engines.read_pages(files, "fake", FakeEngine, "xx")
+    assert "<<<TRANSCRIPT\nকথা\nTRANSCRIPT>>>" in one(spark, "কথা", lambda c: engines.prompt(c, ["sylhet"]))
+
+
+def test_media(spark, tmp_path):
+    status = lambda mime, n: spark.createDataFrame([(mime, bytearray(n))], "m string, c binary").select(intake.media_status(F.col("m"), F.col("c"), intake.AUDIO_KINDS, 5)).first()[0]
+    assert [status("audio/wave", 3), status("audio/wav;x=1", 9), status("text/plain", 3), status("audio/ogg", 0), status(None, 1)] == [200, 413, 415, 400, 415]
+    assert one(spark, "AAEC", lambda c: intake.decode_audio(c)["content"]) == bytearray([0, 1, 2]) and one(spark, "?", lambda c: intake.decode_audio(c)["status"]) == 400
+    evaluation.write_report({"a": spark.range(2)}, str(tmp_path))
+    assert spark.read.json(str(tmp_path / "a")).count() == 2

@@ -75,3 +75,9 @@ def batches(rows: DataFrame, id_col: str, size: int = 50) -> DataFrame:
     """Adds batch: chunks of about ``size`` rows by a digest of the id, so no task numbers all rows."""
     n = rows.count()
     return rows.withColumn("batch", F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n // size)))))
+
+
+def write_report(parts: dict[str, DataFrame], path: str) -> None:
+    """Write each part of an evaluation as JSON lines below ``path``."""
+    for name, df in parts.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")

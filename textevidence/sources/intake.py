@@ -20,6 +20,7 @@ MOST_DOCUMENT, MOST_AUDIO, MOST_IMAGE, MOST_BODY = 10 * 1024 * 1024, 8 * 1024 *
 TEXT, DOCX, PDF, IMAGES = [".csv", ".md", ".txt"], ".docx", ".pdf", [".bmp", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp"]
 OCR_LANGUAGES = {"": "ben+eng", "en": "eng", "english": "eng", "eng": "eng", "bn": "ben", "ben": "ben", "bengali": "ben"}
 IMAGE_KINDS = ["image/jpeg", "image/png", "image/webp"]
+AUDIO_KINDS = ["audio/webm", "audio/ogg", "audio/m4a", "audio/mp4", "audio/mpeg", "audio/wav"]
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -121,6 +122,12 @@ def decode_audio(encoded: Column) -> Column:
     return F.struct(content.alias("content"), F.when(content.isNull(), 400).when(F.octet_length(content) > MOST_AUDIO, 413).otherwise(200).alias("status"))
 
 
+def media_status(mime: Column, content: Column, kinds: list[str], most: int) -> Column:
+    """415 for a media type that is not taken, 400 for no bytes, 413 for too many, else 200."""
+    size = F.coalesce(F.octet_length(content), F.lit(0))
+    return F.when(~F.coalesce(audio_kind(mime).isin(*kinds), F.lit(False)), 415).when(size == 0, 400).when(size > most, 413).otherwise(200)
+
+
 def body_status(body: Column) -> Column:
     """413 for a JSON body of too many bytes, 400 for no JSON, else 200."""
     return F.when(F.octet_length(body) > MOST_BODY, 413).when(F.try_parse_json(body).isNull() & (strip(body) != "null"), 400).otherwise(200)
