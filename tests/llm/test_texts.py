@@ -268,3 +268,31 @@ def test_scan_frame(spark, reader):
     assert got == {(1, 1, "broken_word", "eastern"), (4, 1, "misread", "ferry")}
     fixed = {r["page_id"]: r["text"] for r in scan.repaired(pages, reader, "page_id", "text").collect()}
     assert fixed[3] is None and fixed[6] == "" and fixed[4] == "The ferry"
+
+
+WEIRD = st.text(st.one_of(st.characters(max_codepoint=0x2FFF, exclude_categories=["Cs"]), st.sampled_from("\n\n -­​ \t।.3|©\x85আক্ি")), max_size=120)
+
+
+@settings(max_examples=150, deadline=None)
+@given(WEIRD)
+def test_no_text_breaks_a_reader(text):
+    reader = _READER[0]
+    lines = text.split("\n")
+    furniture = reader.furniture.of_file(scan.page_lines(lines))
+    rows, _ = reader.findings(lines, furniture)
+    assert all(1 <= n <= len(lines) for n, _, _ in rows)
+    assert isinstance(reader.repair(text, furniture), str)
+    assert reader.furniture.of_page(scan.page_lines(lines), ["abc def"], 1) <= set(range(1, len(lines) + 1))
+    canon = lookalike.Canon([])
+    assert lookalike.bare(canon.text(text)) == lookalike.bare(text)
+    for _, _, a, b in _SCORER[0].segments([langid.quick_fold(langid.prose(text))])[0]:
+        assert a < b
+
+
+_READER: list = []
+_SCORER: list = []
+
+
+@pytest.fixture(autouse=True)
+def _shared(reader, model):
+    _READER[:], _SCORER[:] = [reader], [langid.Scorer(model)]
