@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.script import has_bengali
 from ..functions.text import PREVIEW_CHARS, clamp_score, norm_intake, strip
-from .extract import extract
+from .extract import extractions
 from .facts import facts_array
 
 #: Page caps and time budgets as (default, least, most).
@@ -87,12 +87,11 @@ def document_payload(df: DataFrame, id_col: str, text_col: str, kind_col: str |
     """(id, intake_kind, text_preview, full_text_normalized, candidate_facts, structured_fields, extractable, warnings).
 
     Facts and fields come from the raw text, preview and full text from the intake form.  One row per row of
-    ``df`` with an id; null texts count as empty.  Ids must be unique (the fields are joined by id).
+    ``df`` with an id; null texts count as empty.  One pass: nothing is joined or shuffled.
     """
     kind = F.col(kind_col) if kind_col else F.lit("document")
     base = df.where(df[id_col].isNotNull()).select(F.col(id_col), kind.alias("intake_kind"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    fields = extract(base, id_col, "_text").withColumnRenamed("extractions", "structured_fields")
-    step = base.join(fields, id_col).withColumn("full_text_normalized", norm_intake(F.col("_text"))).withColumn("candidate_facts", facts_array(F.col("_text")))
+    step = base.withColumn("structured_fields", extractions(F.col("_text"))).withColumn("full_text_normalized", norm_intake(F.col("_text"))).withColumn("candidate_facts", facts_array(F.col("_text")))
     full, seen = F.col("full_text_normalized"), F.length(strip(F.col("_text")))
     notes = F.array_compact(F.array(
         F.when(F.col("intake_kind") == "pdf_text", "PDF text layer extracted (not OCR). Candidate evidence only until validated.").when(F.col("intake_kind") == "document", "Plain-text intake is candidate evidence only until reviewed."),

@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import ASCII_DIGITS, BENGALI_DIGITS
 
@@ -364,13 +366,21 @@ def _utf16(text: str) -> Callable[[int], int]:
     return lambda i: i + sum(c >= "\U00010000" for c in text[:i])
 
 
-_FIELD = pa.struct([("field", pa.string()), ("value", pa.string()), ("raw", pa.string()), ("span", pa.struct([("start", pa.int32()), ("end", pa.int32())])), ("source_label", pa.string()), ("pattern_strength", pa.string()), ("verification_status", pa.string())])
-_NOTE = pa.struct([("code", pa.string()), ("field", pa.string()), ("status", pa.string()), ("detail", pa.string())])
-EXTRACTIONS = pa.list_(pa.struct([("schema", pa.string()), ("fields", pa.list_(_FIELD)), ("validations", pa.list_(_NOTE))]))
-EXTRACTIONS_DDL = (
-    "array<struct<schema:string,fields:array<struct<field:string,value:string,raw:string,span:struct<start:int,end:int>,source_label:string,pattern_strength:string,verification_status:string>>,"
-    "validations:array<struct<code:string,field:string,status:string,detail:string>>>>"
-)
+_FIELD = T.StructType([
+    *(T.StructField(n, T.StringType()) for n in ("field", "value", "raw")), T.StructField("span", T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])),
+    *(T.StructField(n, T.StringType()) for n in ("source_label", "pattern_strength", "verification_status")),
+])
+_NOTE = T.StructType([T.StructField(n, T.StringType()) for n in ("code", "field", "status", "detail")])
+EXTRACTIONS = T.ArrayType(T.StructType([T.StructField("schema", T.StringType()), T.StructField("fields", T.ArrayType(_FIELD)), T.StructField("validations", T.ArrayType(_NOTE))]))
+
+
+@F.arrow_udf(EXTRACTIONS)
+def _extract(text: pa.Array) -> pa.Array:
+    return pa.array([extract_text(t) if t else [] for t in text.to_pylist()], to_arrow_type(EXTRACTIONS))
+
+
+#: Evaluated once per row, whatever filters stand above it.
+_extract_once = _extract.asNondeterministic()
 
 
 def may_hold(text: Column) -> Column:
@@ -378,17 +388,14 @@ def may_hold(text: Column) -> Column:
     return text.rlike(r"(?i)[0-9০-৯৳@]|licen[cs]e|লাইসেন্স|invoice|bill|receipt|voucher|memo|নং")
 
 
-def extract(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, extractions): the structured fields of each text; null, empty and cue-less texts have none."""
+def extractions(text: Column) -> Column:
+    """The structured fields of a text; none for null, empty and cue-less texts."""
+    return _extract_once(F.when(may_hold(text), text))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [extract_text(t) if t else [] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, EXTRACTIONS)], names=[id_col, "extractions"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    text = df[text_col]
-    return df.select(df[id_col].alias("_id"), F.when(may_hold(text), text).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, extractions {EXTRACTIONS_DDL}")
+def extract(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, extractions): the structured fields of each text; null, empty and cue-less texts have none."""
+    return df.select(df[id_col].alias(id_col), extractions(df[text_col]).alias("extractions"))
 
 
 def extract_fields(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
