@@ -2,7 +2,7 @@
 
 The built-in edit distance works through every cell of each pair, about 4 ms for a text against the catalog.  Here
 a phrase is a row of bits (blocks of 64), and one step of the recurrence handles a whole column of the table for
-all texts of a batch: about 0.2 ms a text.
+all texts of a batch: about 0.1 ms a text.
 """
 
 from __future__ import annotations
@@ -19,15 +19,19 @@ class Phrases:
         self.phrases = phrases
         letters = sorted({c for p in phrases for c in p})
         self.codes = np.array([ord(c) for c in letters], np.uint32)
-        self.masks: list[list[np.ndarray]] = []
-        for p in phrases:
-            blocks = []
-            for start in range(0, len(p), 64):
-                mask = np.zeros(len(letters) + 1, np.uint64)  # the last row is for characters that no phrase has
-                for i, c in enumerate(p[start : start + 64]):
-                    mask[letters.index(c)] |= _ONE << np.uint64(i)
-                blocks.append(mask)
-            self.masks.append(blocks)
+        # Phrases of as many blocks go together: (their places, sizes, masks by block as phrases x letters).
+        self.groups: list[tuple[list[int], np.ndarray, list[np.ndarray]]] = []
+        blocks_of = [-(-len(p) // 64) for p in phrases]
+        for blocks in sorted(set(blocks_of) - {0}):
+            places = [k for k, n in enumerate(blocks_of) if n == blocks]
+            masks = []
+            for b in range(blocks):
+                mask = np.zeros((len(places), len(letters) + 1), np.uint64)  # the last letter is one that no phrase has
+                for row, k in enumerate(places):
+                    for i, c in enumerate(phrases[k][64 * b : 64 * b + 64]):
+                        mask[row, letters.index(c)] |= _ONE << np.uint64(i)
+                masks.append(mask)
+            self.groups.append((places, np.array([len(phrases[k]) for k in places]), masks))
 
     def distances(self, texts: list[str]) -> np.ndarray:
         """Edit distance of every text (rows) to every phrase (columns)."""
@@ -45,24 +49,26 @@ class Phrases:
         letters[column, row] = index
         sorted_lens = lens[order]
         first = np.searchsorted(sorted_lens, np.arange(width), side="right")  # texts from here on are longer
-        out = np.empty((len(texts), len(self.phrases)), np.int64)
-        for k, (phrase, blocks) in enumerate(zip(self.phrases, self.masks, strict=True)):
-            out[order, k] = self._column(len(phrase), blocks, letters, first, len(texts))
+        out = np.repeat(lens[:, None], len(self.phrases), axis=1)  # what it is to an empty phrase
+        for places, sizes, masks in self.groups:
+            out[np.ix_(order, places)] = self._columns(sizes, masks, letters, first, len(texts)).T
         return out
 
     @staticmethod
-    def _column(size: int, blocks: list[np.ndarray], letters: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-        score = np.full(n, size, np.int64)
-        up = [np.full(n, ~np.uint64(0)) for _ in blocks]
-        down = [np.zeros(n, np.uint64) for _ in blocks]
+    def _columns(sizes: np.ndarray, masks: list[np.ndarray], letters: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+        """Distances of phrases (rows) to texts (columns), which are sorted by length; from first[j] on they have a letter j."""
+        score = np.repeat(sizes[:, None], n, axis=1)
+        up = [np.full((len(sizes), n), ~np.uint64(0)) for _ in masks]
+        down = [np.zeros((len(sizes), n), np.uint64) for _ in masks]
+        end = ((sizes - 1) % 64).astype(np.uint64)[:, None]
         for j, a in enumerate(first.tolist()):
             seen = letters[j, a:]
             plus: np.ndarray | np.uint64 = _ONE  # the table's first row grows by one a column
             minus: np.ndarray | np.uint64 = np.uint64(0)
-            for b, mask in enumerate(blocks):
-                last = np.uint64((size - 1) % 64) if b == len(blocks) - 1 else _TOP
-                pv, mv = up[b][a:], down[b][a:]
-                eq = mask[seen]
+            for b, mask in enumerate(masks):
+                last = end if b == len(masks) - 1 else _TOP
+                pv, mv = up[b][:, a:], down[b][:, a:]
+                eq = mask[:, seen]
                 xv = eq | mv
                 eq |= minus
                 xh = (((eq & pv) + pv) ^ pv) | eq
@@ -70,8 +76,8 @@ class Phrases:
                 next_plus, next_minus = (ph >> last) & _ONE, (mh >> last) & _ONE
                 ph = (ph << _ONE) | plus
                 mh = (mh << _ONE) | minus
-                up[b][a:] = mh | ~(xv | ph)
-                down[b][a:] = ph & xv
+                up[b][:, a:] = mh | ~(xv | ph)
+                down[b][:, a:] = ph & xv
                 plus, minus = next_plus, next_minus
-            score[a:] += plus.astype(np.int64) - minus.astype(np.int64)
+            score[:, a:] += plus.astype(np.int64) - minus.astype(np.int64)
         return score
