@@ -29,6 +29,9 @@ SPAN, GRAM = 200, 100
 #: Characters of text in one piece and in one slice: a worker's memory is about 100 bytes a character of a slice.
 PIECE, SLICE = 1_000_000, 3_000_000
 
+#: Bytes of units that a task gathers before it packs them by bucket; bytes of contexts that are compared at once.
+HELD, PORTION = 48_000_000, 4_000_000
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
@@ -260,17 +263,49 @@ def _portions(part: pa.RecordBatch, span: int) -> Iterator[tuple[np.ndarray, lis
         yield ids[a:b], texts[a:b], bases[a:b]
 
 
-def _shut(batch: pa.RecordBatch) -> bytes:
-    """Units as compressed bytes: neighbouring units of a record share text, which a row's own compression can't see."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+#: Columns of a unit row, as they are packed.
+_COLUMNS = [("doc_id", np.int64), ("anchor", np.int64), ("at", np.int32), ("low", np.int16), ("high", np.int16), ("page", np.int16), ("kind", np.int8)]
 
 
-def _open(blob: pa.Buffer) -> pa.RecordBatch:
-    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)) as reader:
-        return reader.read_next_batch()
+def _shut(batch: pa.RecordBatch) -> bytes:
+    """Units as compressed bytes, column after column: neighbouring units of a record share text, which a row's own
+    compression can't see."""
+    context = batch.column(6)
+    offsets = np.frombuffer(context.buffers()[1], np.int32)[context.offset : context.offset + len(context) + 1]
+    data = np.frombuffer(context.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(context) else np.zeros(0, np.uint8)
+    columns = [np.ascontiguousarray(np.asarray(batch.column(name)), dtype=kind).tobytes() for name, kind in _COLUMNS]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([len(context).to_bytes(4, "little"), *columns, np.diff(offsets).astype(np.int32).tobytes(), data.tobytes()]))
+
+
+def _open(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(columns, lengths of the contexts, their bytes) of packed units."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, columns = int.from_bytes(raw[:4], "little"), 4, []
+    for _, kind in _COLUMNS:
+        columns.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    lens = np.frombuffer(raw, np.int32, n, at)
+    return columns, lens, np.frombuffer(raw, np.uint8, offset=at + 4 * n)
+
+
+def _stretches(blobs: list[bytes], span: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Shared stretches of a bucket's units, in portions of whole groups of about PORTION bytes of context."""
+    opened = [_open(b) for b in blobs]
+    columns = [np.concatenate([c[k] for c, _, _ in opened]) for k in range(len(_COLUMNS))]
+    lens = np.concatenate([x for _, x, _ in opened]).astype(np.int64)
+    data = np.concatenate([x for _, _, x in opened])
+    del opened
+    begin = np.cumsum(lens) - lens
+    portions = max(1, -(-len(data) // PORTION))
+    where = (_mix(columns[1].view(np.uint64)) >> np.uint64(24)) % np.uint64(portions)
+    order = np.argsort(where, kind="stable")
+    bounds = np.searchsorted(where[order], np.arange(portions + 1))
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        rows = order[a:b]
+        if len(rows):
+            offsets = np.concatenate(([0], np.cumsum(lens[rows]))).astype(np.int32)
+            context = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data[ragged(begin[rows], lens[rows])])])
+            yield _merge(*compare(*[c[rows] for c in columns], context, span, gram))
 
 
 def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,47 +330,55 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeat an id are one record: what only they have in common is not shared.
     """
 
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 8 * partitions  # a task holds the units of one bucket at a time
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per bucket of anchors: the bucket's units, by columns and compressed."""
+        """One row per bucket of anchors, for as many slices as HELD allows: the bucket's units, packed."""
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            made = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            where = (_mix(np.asarray(made.column(1)).view(np.uint64)) % np.uint64(partitions)).astype(np.int32)
+            order = np.argsort(where, kind="stable")
+            made, where = made.take(pa.array(order)), where[order]
+            first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+            last = np.concatenate((first[1:], [len(where)]))
+            blobs = [_shut(made.slice(a, b - a)) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(where[first]), pa.array(blobs, pa.binary())], names=["bucket", "units"])
+
         for batch in batches:
-            for made in (thinned(units(ids, texts, span, gram, bases)) for part in slices(batch, "_text", SLICE) for ids, texts, bases in _portions(part, span)):
-                where = (_mix(np.asarray(made.column(1)).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(where, kind="stable")
-                made, where = made.take(pa.array(order)), where[order]
-                first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-                last = np.concatenate((first[1:], [len(where)]))
-                blobs = [_shut(made.slice(a, b - a)) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(where[first]), pa.array(blobs, pa.binary())], names=["bucket", "units"])
+            for part in slices(batch, "_text", SLICE):
+                for ids, texts, bases in _portions(part, span):
+                    held.append(thinned(units(ids, texts, span, gram, bases)))
+                    if sum(x.nbytes for x in held) > HELD:
+                        yield flush()
+        if held:
+            yield flush()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[bytes] = []
         now = -1
 
-        def run() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            columns = [t.column(c).to_numpy() for c in ("doc_id", "anchor", "at", "low", "high", "page", "kind")]
-            doc, start, end = _merge(*compare(*columns, t.column("context").chunk(0), span, gram))
+        def run() -> Iterator[pa.RecordBatch]:
+            for doc, start, end in _stretches(held, span, gram):
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "start", "end"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "start", "end"])
 
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != now and held:
-                    yield run()
+                    yield from run()
                 now = bucket
-                held.append(_open(blob.as_buffer()))
+                held.append(blob)
         if held:
-            yield run()
+            yield from run()
 
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("_text"))
     texts = texts.where(F.length("_text") >= span).where("doc_id is not null")
     rows = texts.select("doc_id", "_text").mapInArrow(cut, "bucket int, units binary")
-    # Buckets are dealt out evenly by their own number; a digest of it would leave some tasks with twice the work.
-    dealt = rows.repartitionById(partitions, F.pmod("bucket", F.lit(partitions)))
+    # A bucket is a partition, by its own number: a digest of it would leave some tasks with twice the work.
+    dealt = rows.repartitionById(partitions, "bucket")
     stretches = dealt.sortWithinPartitions("bucket").mapInArrow(match, "doc_id long, start int, end int")
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
