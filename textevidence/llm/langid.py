@@ -40,7 +40,9 @@ _LABEL = {x: code for code, names in LABELS.items() for x in names.split()}
 
 _WORD = re.compile(r"[^\s\d!-&(-@\[-`{-~।॥。、，！？：；・（）《》「」『』“”„«»…–—¿¡०-९০-৯٠-٩،؛؟०-९]+")
 _END = re.compile(r"(?<=[.?!؟])[\"'”’»)\]]*\s+|(?<=[।॥。！？])[\"'”’»」』)\]]*\s*|[\n\r]+")
-_MAIL = re.compile(r"\S*@\S*|www\.\S+")
+# Addresses, sites and numbers read out digit by digit are of no language.
+_MAIL = re.compile(r"\S*@\S*|www\.\S+|\S+\s*[\[(]at[\])]\s*\S+|\S+ at (?=\S+ dot )|[\[(]dot[\])]\s*\S+|\S+(?: dot \S+)+|(?:\b(?:zero|one|two|three|four|five|six|seven|eight|nine)\b\s*){5,}")
+_MAIL_SIGNS = ("@", "www.", "at]", "at)", " dot ", "zero")
 _DENSE = re.compile("[぀-ヿ㐀-鿿ก-๛]")
 _THAI = re.compile("[ก-๛]")
 _SHORT = set(ABBREVIATIONS.split())
@@ -168,7 +170,7 @@ class Scorer:
             low = text.lower()  # of the same length, but for one Turkish letter
             for a, b in _thai(text, pieces(text)) if _THAI.search(text) else pieces(text):
                 part = low[a:b]
-                parts.append(words(_MAIL.sub(" ", part) if "@" in part or "www." in part else part))
+                parts.append(words(_MAIL.sub(" ", part) if any(x in part for x in _MAIL_SIGNS) else part))
                 owner.append(i)
                 spans.append((a, b))
         out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
