@@ -37,6 +37,8 @@ _UNUSUAL = re.compile("[" + "".join(re.escape(c) for c in _TO if c < "\U00010000
 _ASTRAL = re.compile("[\U0001d400-\U0001d7ff]")
 _TONE = re.compile("([่-๋])ํ")
 _WORD = re.compile(r"\S+")
+#: What is settled before words are cut: spaces, what stands for several words, what does not show (but joiners).
+_BETWEEN = re.compile("[" + "".join(re.escape(c) for c, to in _TO.items() if c.isspace() or any(x.isspace() for x in to) or c in INVISIBLE and c not in "\u200c\u200d") + "]")
 
 
 def bare(text: str) -> str:
@@ -113,27 +115,29 @@ class Canon:
         return got
 
     def text(self, text: str) -> str:
-        if text.isascii():
-            return text
-        if not (_UNUSUAL.search(text) or _ASTRAL.search(text)) and unicodedata.is_normalized("NFC", text):
-            return text
         # spaces first, so that words are seen whole; what does not show may stand alone between spaces
-        text = "".join(_TO.get(c, c) if c.isspace() or c in INVISIBLE and c not in "‌‍" else c for c in text)
+        if not text.isascii():
+            text = _BETWEEN.sub(lambda m: _TO[m.group()], text)
         return _WORD.sub(lambda m: self.word(m.group()), text)
 
 
+def _usable(word: str, form: str) -> bool:
+    """Whether a spelling may be the canonical one of its bare form."""
+    return word == form or (len(form) == len(word) or "\u200d" in word or "\u200c" in word) and not any(0xFF00 <= ord(c) < 0xFFF0 for c in word) and bare(word) == form
+
+
 def vocabulary(sources: list[tuple[DataFrame, str]], texts: int = VOCABULARY_TEXTS, words: int = VOCABULARY_WORDS) -> list[tuple[str, str, int]]:
     """(bare form, most frequent spelling, count) of words of at most ``texts`` texts of each (table, column)."""
     seen: dict[str, Counter[str]] = {}
     for df, column in sources:
         for (text,) in df.select(F.substring(df[column], 1, 1000)).where(df[column].isNotNull()).limit(texts).toLocalIterator():
-            for word in text.split():
-                if not word.isascii():
-                    form = bare(word)
-                    if form and (len(form) == len(word) or "‍" in word or "‌" in word) and not any(0xFF00 <= ord(c) < 0xFFF0 for c in word):
-                        seen.setdefault(form, Counter())[word] += 1
-    top = sorted(((form, *c.most_common(1)[0]) for form, c in seen.items() if c.total() > 1 or next(iter(c)) == form), key=lambda x: (-x[2], x[0]))[:words]
-    return [(form, spelling if bare(spelling) == form else form, n) for form, spelling, n in top]
+            for word in _WORD.findall(text if text.isascii() else _BETWEEN.sub(lambda m: _TO[m.group()], text)):
+                form = bare(word)
+                if form and _usable(word, form):
+                    seen.setdefault(form, Counter())[word] += 1
+    # of spellings as frequent as each other the bare one counts; a word seen once is its bare form
+    best = [(form, max(c, key=lambda w: (c[w], w == form, w)) if c.total() > 1 else form, c.total()) for form, c in seen.items()]
+    return sorted(best, key=lambda x: (-x[2], x[0]))[:words]
 
 
 _CANONS: dict[tuple, Canon] = {}
