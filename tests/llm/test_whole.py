@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 
 pytest.importorskip("textevidence.llm")
@@ -16,3 +18,16 @@ def test_one_canonical_text_a_look(spark):
         got = {r["id"]: r["text"] for r in lookalike.canonical(df, lookalike.vocabulary([(some, "text")]), "id", "text").collect()}
         assert got[1] == got[3] and got[6] == got[7] and got[8] == got[9]
     assert {r["text"] for r in lookalike.canonical(df.where("id < 6"), lookalike.vocabulary([(df, "text")]), "id", "text").collect()} == {clean}
+
+
+def test_the_walk_decides(spark):
+    raw = {"Ｈｅｌｌｏ": "Hello", "р\u0430rk": "park", "e\u0301t\u0435\u0301": "\u00e9t\u00e9", "re\u200bad\u00ading": "reading", "\ufb01sh": "fish", "a\u2011b": "a-b", "\u0e19\u0e49\u0e33": "\u0e19\u0e49\u0e4d\u0e32", "\uff76\uff9e": "\u30ac"}
+    words = [(lookalike.bare(w), lookalike.bare(w), 2) for w in raw.values()] + [("rank", "r\u0430nk", 3)]
+    trie = lookalike.Trie(words)
+    assert {w: trie.find(w) for w in raw} == {w: lookalike.bare(x) for w, x in raw.items()}
+    canon, asked = lookalike.Canon(words), []
+    canon.trie = type("Asked", (), {"find": lambda _, word, cost=0.0: (asked.append(word), trie.find(word, cost))[1]})()
+    assert canon.text("р\u0430rk rank") == "park r\u0430nk" and asked == ["р\u0430rk", "rank"]
+    df = spark.createDataFrame([(1, "rank"), (2, "\u0433\u0430nk"), (3, "r\u0430nk")], "id long, text string")
+    looks = {r["record_id"]: bytes(r["look"]) for r in lookalike.digests(df, words, "id", "text", "t").collect()}
+    assert looks[1] == looks[3] == hashlib.blake2b("r\u0430nk".encode(), digest_size=16).digest()

@@ -1,11 +1,12 @@
 """One form for text that looks the same (problem 2).
 
 A trie holds the vocabulary: the words of a bounded sample of texts, each under its bare form with its most
-frequent spelling.  Words with unusual characters walk the trie by a weighted edit automaton, in which
-look-alikes, width, joining and characters that do not show cost nothing; the cheapest word within ``max_cost``
-gives the canonical spelling (0 by default: only words that look the same).  Words the trie lacks are normalised
-by the tables.  Both ways give one form to all spellings of a look, so the sample never changes which texts are
-found equal.  Texts stay in their partition; only digests are shuffled.
+frequent spelling.  Every word walks the trie as it stands, by a weighted edit automaton in which look-alikes,
+width, joining, the order of marks and characters that do not show cost nothing; the cheapest word within
+``max_cost`` gives the canonical spelling (0 by default: only words that look the same).  Words the trie lacks are
+normalised by the tables, which also confirm what the walk finds at no cost.  Both ways give one form to all
+spellings of a look, so the vocabulary never changes which texts are found equal.  Texts stay in their partition;
+only digests of canonical texts are shuffled.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ _TO = {chr(c): to for c, to in FREE.items()}
 _UNUSUAL = re.compile("[" + "".join(re.escape(c) for c in _TO if c < "\U00010000") + "]")
 _ASTRAL = re.compile("[\U0001d400-\U0001d7ff]")
 _TONE = re.compile("([่-๋])ํ")
+_TONES = frozenset("่้๊๋")
 _WORD = re.compile(r"\S+")
 #: What is settled before words are cut: spaces, what stands for several words, what does not show (but joiners).
 _BETWEEN = re.compile("[" + "".join(re.escape(c) for c, to in _TO.items() if c.isspace() or any(x.isspace() for x in to) or c in INVISIBLE and c not in "\u200c\u200d") + "]")
@@ -61,14 +63,14 @@ class Trie:
         self.root: dict = {}
         for form, spelling, weight in words:
             node = self.root
-            for c in form:
+            for c in unicodedata.normalize("NFD", form):
                 node = node.setdefault(c, {})
             if node.get("", ("", 0))[1] < weight:
                 node[""] = (spelling, weight)
 
     def find(self, word: str, max_cost: float = 0.0) -> str | None:
         """The canonical spelling nearest to ``word``: free edits cost 0, any other insertion, deletion or change 1."""
-        letters = [x for c in unicodedata.normalize("NFC", word) for x in unicodedata.normalize("NFC", _TO.get(c, c)) or ("",)]
+        letters = [x for c in unicodedata.normalize("NFD", word) for x in unicodedata.normalize("NFD", _TO.get(c, c)) or ("",)]
         states: dict[tuple[int, int], tuple[float, dict]] = {}
         front = [(0.0, 0, self.root)]
         best: tuple[float, int, str] | None = None
@@ -86,6 +88,8 @@ class Trie:
                     grown.append((cost, i + 1, node))
                 elif (to := node.get(letters[i])) is not None:
                     grown.append((cost, i + 1, to))
+                if i + 1 < len(letters) and letters[i] in _TONES and letters[i + 1] == "ํ" and (to := node.get("ํ", {}).get(letters[i])) is not None:
+                    grown.append((cost, i + 2, to))
                 if cost + 1 <= max_cost:
                     if i < len(letters):
                         grown.append((cost + 1, i + 1, node))
@@ -109,8 +113,10 @@ class Canon:
         if got is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
-            form = bare(word)
-            got = self.trie.find(form, self.max_cost)
+            got, form = self.trie.find(word, self.max_cost), bare(word)
+            if not self.max_cost and (got is None or got != form and bare(got) != form):
+                got = self.trie.find(form)  # composed otherwise than the walk reads it, or not held
+                got = None if got is not None and bare(got) != form else got
             got = self.memo[word] = form if got is None else got
         return got
 
@@ -175,11 +181,10 @@ def digests(df: DataFrame, words: list, id_col: str, text_col: str, record_table
     def one(canon: Canon, part: pa.RecordBatch) -> pa.RecordBatch:
         ids, looks, spellings = [], [], []
         for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            form = bare(text)
+            form = canon.text(text)
             if form and not form.isspace():
                 ids.append(i)
-                # The bare form of the canonical text: trie and table agree on it.
-                looks.append(hashlib.blake2b(bare(canon.text(text)).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                looks.append(hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 spellings.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(looks, pa.binary()), pa.array(spellings, pa.int64())], names=["record_id", "look", "spelling"])
 
