@@ -7,7 +7,8 @@ import hashlib
 import pytest
 
 pytest.importorskip("textevidence.llm")
-from textevidence.llm import lookalike  # noqa: E402
+from textevidence.llm import lookalike, scan  # noqa: E402
+from textevidence.llm import queries as q  # noqa: E402
 
 
 def test_one_canonical_text_a_look(spark):
@@ -31,3 +32,28 @@ def test_the_walk_decides(spark):
     df = spark.createDataFrame([(1, "rank"), (2, "\u0433\u0430nk"), (3, "r\u0430nk")], "id long, text string")
     looks = {r["record_id"]: bytes(r["look"]) for r in lookalike.digests(df, words, "id", "text", "t").collect()}
     assert looks[1] == looks[3] == hashlib.blake2b("r\u0430nk".encode(), digest_size=16).digest()
+
+
+TABLES = {
+    "p1_repaired": {"pdf_pages": "engine != 'pdfjs-dist'", "raster_results": "true", "image_intents": "true"},
+    "p2_canonical": {"corpus_events": "true", "dialect_candidates": "true", "pdf_pages": "true"},
+    "p4_redacted": {"pdf_pages": "true", "extracted_fields": "true", "corpus_events": "true"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(TABLES))
+def test_every_table_comes_out(name, spark, data):
+    rows = q.queries()[name](spark, data).groupBy("record_table").count().collect()
+    assert {r["record_table"]: r["count"] for r in rows} == {t: spark.read.parquet(f"{data}/{t}.parquet").where(x).count() for t, x in TABLES[name].items()}
+
+
+def test_segments_of_both_tables(spark, data):
+    assert {r[0] for r in q.queries()["p5_segments"](spark, data).select("record_table").distinct().collect()} == {"corpus_events", "documents"}
+
+
+def test_words_broken_over_pages(spark, data):
+    reader = scan.fit(spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/pdf_pages.parquet"))
+    rows = [(1, 7, 1, "The board met at the east-", "x"), (2, 7, 2, "ern, wide canal.", "x"), (3, 7, 3, None, "x"), (4, None, 1, "The fcrry", "x"), (5, 7, 4, "text layer", "pdfjs-dist"), (6, 8, 1, "", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, file_id long, page int, text string, engine string")
+    got = {r["page_id"]: r["text"] for r in scan.repaired_pages(pages, reader).collect()}
+    assert got == {1: "The board met at the eastern,", 2: "wide canal.", 3: None, 4: "The ferry", 6: ""}

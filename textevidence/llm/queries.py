@@ -5,17 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import langid, lookalike, mixing, pii, scan, sentences, spans, tokenize
 from .common import table
 
 
+def _of(name: str, df: DataFrame) -> DataFrame:
+    """Rows whose first column is an id, with the table it belongs to."""
+    return df.select(F.lit(name).alias("record_table"), F.col(df.columns[0]).alias("record_id"), *df.columns[1:])
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return scan.found(table(spark, d, "pdf_pages"), table(spark, d, "raster_results"), table(spark, d, "image_intents"))
 
 
 def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return scan.repaired(table(spark, d, "raster_results"), scan.fit(table(spark, d, "pdf_pages")), "file_id", "text")
+    pages = table(spark, d, "pdf_pages")
+    reader = scan.fit(pages)
+    files = _of("raster_results", scan.repaired(table(spark, d, "raster_results"), reader, "file_id", "text"))
+    images = _of("image_intents", scan.repaired(table(spark, d, "image_intents"), reader, "image_id", "text_in_image", False))
+    return _of("pdf_pages", scan.repaired_pages(pages, reader)).unionByName(files).unionByName(images)
 
 
 def _p2_sources(spark: SparkSession, d: str) -> list:
@@ -28,7 +38,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     sources = _p2_sources(spark, d)
-    return lookalike.canonical(sources[0][1], lookalike.vocabulary([(df, text) for _, df, _, text in sources]), "event_id", "transcript")
+    words = lookalike.vocabulary([(df, text) for _, df, _, text in sources])
+    events, phrases, pages = (_of(name, lookalike.canonical(df, words, id_col, text)) for name, df, id_col, text in sources)
+    return events.unionByName(phrases).unionByName(pages)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +63,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(table(spark, d, "pdf_pages"), pii.name_parts(table(spark, d, "name_parts")), "page_id", "text")
+    names = pii.name_parts(table(spark, d, "name_parts"))
+    pages = _of("pdf_pages", pii.redact(table(spark, d, "pdf_pages"), names, "page_id", "text"))
+    fields = _of("extracted_fields", pii.redact(table(spark, d, "extracted_fields"), names, "field_id", "raw", _ID_FIELDS))
+    events = _of("corpus_events", pii.redact(table(spark, d, "corpus_events"), names, "event_id", "transcript"))
+    return pages.unionByName(fields).unionByName(events)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +77,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "corpus_events")
     model = langid.fit(table(spark, d, "lang_samples"), [(events, "language", "transcript")])
-    return langid.segments(events, model, "event_id", "transcript")
+    documents = _of("documents", langid.segments(table(spark, d, "documents"), model, "doc_id", "text", markup=True))
+    return _of("corpus_events", langid.segments(events, model, "event_id", "transcript")).unionByName(documents)
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -696,8 +696,9 @@ def found_texts(df: DataFrame, shared, id_col: str, text_col: str, record_table:
     return _mapped(rows, shared, one, _FOUND)
 
 
-def found_pages(pages: DataFrame, shared) -> DataFrame:
-    """Findings in the scanned pages of files (page_id, file_id, page, text)."""
+def settled_pages(pages: DataFrame, shared) -> DataFrame:
+    """A short row for each scanned page of files (page_id, file_id, page, text): its furniture and findings, the open
+    word with which it ends, and its first word, should that go on with one of the page before."""
     tops = F.filter(F.transform(F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0), 1, 2), lambda x: x), lambda x: F.length(x) < 120)
     scans = pages.where("text is not null and text != '' and page_id is not null and coalesce(engine, '') != 'pdfjs-dist'")
 
@@ -715,7 +716,7 @@ def found_pages(pages: DataFrame, shared) -> DataFrame:
     repeated = counted.groupBy("file_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("count"), "key"))), 1, 64).alias("k"))
     repeated = repeated.select(F.col("file_id").alias("_file"), F.col("k.key").alias("_repeated"))
 
-    schema = "page_id long, file_id long, page int, top array<string>, bottom array<string>, nos array<int>, n_lines int, rows array<struct<line_no:int,kind:string,item:string,next:int>>, tails array<struct<line_no:int,part:string>>, heads array<struct<line_no:int,head:string>>"
+    schema = "page_id long, file_id long, page int, top array<string>, bottom array<string>, nos array<int>, n_lines int, rows array<struct<line_no:int,kind:string,item:string,next:int>>, tails array<struct<line_no:int,part:string>>, heads array<struct<line_no:int,head:string,token:string>>"
 
     def read(reader: Reader, part: pa.RecordBatch) -> pa.RecordBatch:
         """Short rows: what each line would say if it were content, and the lines that may be furniture."""
@@ -736,9 +737,9 @@ def found_pages(pages: DataFrame, shared) -> DataFrame:
                 rows += [(i + 1, "misread", fixed, -1 if folded[i].lstrip().startswith(token) else 0) for token, fixed in reader.misread(folded[i], carried, piece is not None)]
                 carried = goes_on
             near = at[:4], at[max(4, len(at) - 4) :]
-            for column, value in zip(columns, (page_id, file, page, [lines[i] for i in near[0]], [lines[i] for i in near[1]], [i + 1 for g in near for i in g], len(at), [dict(zip(("line_no", "kind", "item", "next"), r, strict=True)) for r in rows], [{"line_no": i + 1, "part": p} for i in at[-5:] if (p := reader.broken(lines[i])) is not None], [{"line_no": i + 1, "head": reader.head(lines[i])} for i in at[:5]]), strict=True):
+            for column, value in zip(columns, (page_id, file, page, [lines[i] for i in near[0]], [lines[i] for i in near[1]], [i + 1 for g in near for i in g], len(at), [dict(zip(("line_no", "kind", "item", "next"), r, strict=True)) for r in rows], [{"line_no": i + 1, "part": p} for i in at[-5:] if (p := reader.broken(lines[i])) is not None], [{"line_no": i + 1, "head": reader.head(lines[i]), "token": lines[i].split()[0]} for i in at[:5]]), strict=True):
                 column.append(value)
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("item", pa.string()), ("next", pa.int32())])), pa.list_(pa.struct([("line_no", pa.int32()), ("part", pa.string())])), pa.list_(pa.struct([("line_no", pa.int32()), ("head", pa.string())]))]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("item", pa.string()), ("next", pa.int32())])), pa.list_(pa.struct([("line_no", pa.int32()), ("part", pa.string())])), pa.list_(pa.struct([("line_no", pa.int32()), ("head", pa.string()), ("token", pa.string())]))]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page_id", "file_id", "page", "top", "bottom", "nos", "n_lines", "rows", "tails", "heads"])
 
     short = _mapped(scans.select(F.col("page_id").cast("long"), F.col("file_id").cast("long"), F.col("page").cast("int"), F.col("text").alias("_text")), shared, read, schema)
@@ -746,7 +747,7 @@ def found_pages(pages: DataFrame, shared) -> DataFrame:
 
     def settle(reader: Reader, part: pa.RecordBatch) -> pa.RecordBatch:
         """Furniture of each page, the findings outside it, and the page's open last and first words."""
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
         for row in part.to_pylist():
             texts = [*row["top"], *row["bottom"]]
             lines, n = [], row["n_lines"]
@@ -764,13 +765,18 @@ def found_pages(pages: DataFrame, shared) -> DataFrame:
             found += [(r["line_no"], r["kind"], r["item"]) for r in row["rows"] if r["line_no"] not in furniture and r is not maybe and not (r["kind"] == "broken_word" and r["next"] in furniture)]
             last = max((x.no for x in lines if x.no not in furniture), default=0)
             tail = next((t for t in row["tails"] if t["line_no"] == last), None)
-            head = next((h["head"] for h in row["heads"] if h["line_no"] == first), "")
-            for column, value in zip(out, (row["page_id"], row["file_id"], row["page"], [{"line_no": a, "kind": b, "item": c} for a, b, c in dict.fromkeys(found)], tail, head, maybe and {"line_no": maybe["line_no"], "item": maybe["item"]}), strict=True):
+            head, token = next(((h["head"], h["token"]) for h in row["heads"] if h["line_no"] == first), ("", ""))
+            for column, value in zip(out, (row["page_id"], row["file_id"], row["page"], [{"line_no": a, "kind": b, "item": c} for a, b, c in dict.fromkeys(found)], tail, head, maybe and {"line_no": maybe["line_no"], "item": maybe["item"]}, token), strict=True):
                 column.append(value)
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("item", pa.string())])), pa.struct([("line_no", pa.int32()), ("part", pa.string())]), pa.string(), pa.struct([("line_no", pa.int32()), ("item", pa.string())])]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["page_id", "file_id", "page", "found", "tail", "head", "maybe"])
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("item", pa.string())])), pa.struct([("line_no", pa.int32()), ("part", pa.string())]), pa.string(), pa.struct([("line_no", pa.int32()), ("item", pa.string())]), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["page_id", "file_id", "page", "found", "tail", "head", "maybe", "token"])
+
+    return checkpoint(_mapped(joined, shared, settle, "page_id long, file_id long, page int, found array<struct<line_no:int,kind:string,item:string>>, tail struct<line_no:int,part:string>, head string, maybe struct<line_no:int,item:string>, token string", None))
 
-    settled = checkpoint(_mapped(joined, shared, settle, "page_id long, file_id long, page int, found array<struct<line_no:int,kind:string,item:string>>, tail struct<line_no:int,part:string>, head string, maybe struct<line_no:int,item:string>", None))
+
+def found_pages(pages: DataFrame, shared) -> DataFrame:
+    """Findings in the scanned pages of files (page_id, file_id, page, text)."""
+    settled = settled_pages(pages, shared)
     inside = settled.select(F.lit("pdf_pages").alias("record_table"), F.col("page_id").alias("record_id"), F.explode("found").alias("f")).select("record_table", "record_id", F.col("f.line_no").cast("long").alias("line_no"), "f.kind", "f.item")
 
     nexts = settled.where("file_id is not null and head != ''").groupBy("file_id", "page").agg(F.min_by("head", "page_id").alias("head")).select("file_id", (F.col("page") - 1).alias("page"), "head")
@@ -812,3 +818,35 @@ def repaired(df: DataFrame, reader: Reader, id_col: str, text_col: str, joined_p
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     return _mapped(df.select(df[id_col].cast("long").alias("_id"), df[text_col].alias("_text")), shared, one, f"{id_col} long, text string")
+
+
+def repaired_pages(pages: DataFrame, reader: Reader) -> DataFrame:
+    """(id, text): each scanned page of ``pages`` as continuous paragraphs, without the furniture its file shows; a
+    word broken over pages is whole on the page where it begins and gone from the next.  Null and empty texts stay."""
+    shared = pages.sparkSession.sparkContext.broadcast(reader)
+    settled = settled_pages(pages, shared)
+    furniture = F.transform(F.filter("found", lambda x: x.kind == "furniture"), lambda x: x.line_no)
+    own = settled.select("page_id", "file_id", "page", furniture.alias("_furniture"), F.col("tail").isNotNull().alias("_open"), (F.col("head") != "").alias("_goes_on"))
+    nexts = settled.where("file_id is not null and head != ''").groupBy("file_id", "page").agg(F.min_by("token", "page_id").alias("_next")).select("file_id", (F.col("page") - 1).alias("page"), "_next")
+    opened = settled.where("tail is not null and file_id is not null").select("file_id", (F.col("page") + 1).alias("page"), F.lit(True).alias("_opened")).distinct()
+    own = own.join(nexts.hint("merge"), ["file_id", "page"], "left").join(opened.hint("merge"), ["file_id", "page"], "left")
+    short = own.select(F.col("page_id").alias("_page"), "_furniture", F.when(F.col("_open"), F.col("_next")).alias("_next"), (F.col("_goes_on") & F.coalesce("_opened", F.lit(False))).alias("_cut"))
+    texts = pages.where("coalesce(engine, '') != 'pdfjs-dist'").select(F.col("page_id").cast("long").alias("_id"), F.col("text").alias("_text"))
+    # The texts meet their short rows by id here; what follows leaves them in place.
+    rows = checkpoint(texts.join(short.hint("merge"), F.col("_id") == F.col("_page"), "left").drop("_page"))
+
+    def one(reader: Reader, part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for text, furniture, following, cut in zip(*(part.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            if text:
+                nos = set(furniture or ())
+                if cut:
+                    lines = text.split("\n")
+                    first = next(i for i, x in enumerate(lines) if x.strip() and i + 1 not in nos)
+                    lines[first] = lines[first].lstrip()[len(lines[first].split()[0]) :]
+                    text = "\n".join(lines)
+                text = reader.repair(f"{text}\n{following}" if following else text, nos)
+            texts.append(text)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["page_id", "text"])
+
+    return _mapped(rows, shared, one, "page_id long, text string")
