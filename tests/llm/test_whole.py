@@ -16,9 +16,9 @@ def test_one_canonical_text_a_look(spark):
     rows = [(1, dirty), (2, dirty), (3, clean), (4, clean), (5, clean), (6, f"{dirty} again"), (7, f"{clean} again"), (8, "\ufdfa"), (9, "\u0635\u0644\u0649 \u0627\u0644\u0644\u0647 \u0639\u0644\u064a\u0647 \u0648\u0633\u0644\u0645")]
     df = spark.createDataFrame(rows, "id long, text string")
     for some in (df, df.where("id < 4 or id > 5")):  # the clean spelling is the more or the less frequent one
-        got = {r["id"]: r["text"] for r in lookalike.canonical(df, lookalike.vocabulary([(some, "text")]), "id", "text").collect()}
+        got = {r["id"]: r["text"] for r in lookalike.canonical(df, lookalike.vocabulary([(some, "text")])[0], "id", "text").collect()}
         assert got[1] == got[3] and got[6] == got[7] and got[8] == got[9]
-    assert {r["text"] for r in lookalike.canonical(df.where("id < 6"), lookalike.vocabulary([(df, "text")]), "id", "text").collect()} == {clean}
+    assert {r["text"] for r in lookalike.canonical(df.where("id < 6"), lookalike.vocabulary([(df, "text")])[0], "id", "text").collect()} == {clean}
 
 
 def test_the_walk_decides(spark):
@@ -57,3 +57,16 @@ def test_words_broken_over_pages(spark, data):
     pages = spark.createDataFrame(rows, "page_id long, file_id long, page int, text string, engine string")
     got = {r["page_id"]: r["text"] for r in scan.repaired_pages(pages, reader).collect()}
     assert got == {1: "The board met at the eastern,", 2: "wide canal.", 3: None, 4: "The ferry", 6: ""}
+
+
+def test_spellings_of_whole_texts_count(spark):
+    usual = "x" * 1500 + " r\u200dal r\u200dal r\u200dal \u0430b \u0430b cd"
+    df = spark.createDataFrame([(1, "ral ab"), (2, usual), (3, None), (4, "ral ab"), (5, usual), (6, "")], "id long, text string")
+    words, rest = lookalike.vocabulary([(df, "text")])
+    assert rest is None and {f: w for f, w, _ in words if f != w} == {"ral": "r\u200dal", "ab": "\u0430b"}
+    want = {r["id"]: r["text"] for r in lookalike.canonical(df, words, "id", "text").collect()}
+    assert want[1] == want[4] == "r\u200dal \u0430b" and want[2] == usual and want[3] is None
+    for bound in ({"words": 1}, {"words": 0}, {"letters": 3}):  # what the trie cannot hold is joined
+        words, rest = lookalike.vocabulary([(df, "text")], **bound)
+        assert len(words) <= 1 and rest is not None
+        assert sorted((r["id"], r["text"] or "") for r in lookalike.canonical(df, words, "id", "text", rest=rest).collect()) == sorted((i, t or "") for i, t in want.items())

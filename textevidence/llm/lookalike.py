@@ -1,12 +1,13 @@
 """One form for text that looks the same (problem 2).
 
-A trie holds the vocabulary: the words of a bounded sample of texts, each under its bare form with its most
-frequent spelling.  Every word walks the trie as it stands, by a weighted edit automaton in which look-alikes,
+A trie holds the vocabulary: words, each under its bare form with its most frequent spelling in all whole texts.
+Spark counts the spellings; of the words the trie takes those first whose usual spelling is not the bare one, up to
+a bound.  Those beyond it reach their texts by a join.  Every word walks the trie as it stands, by a weighted edit automaton in which look-alikes,
 width, joining, the order of marks and characters that do not show cost nothing; the cheapest word within
 ``max_cost`` gives the canonical spelling (0 by default: only words that look the same).  Words the trie lacks are
 normalised by the tables, which also confirm what the walk finds at no cost.  Both ways give one form to all
-spellings of a look, so the vocabulary never changes which texts are found equal.  Texts stay in their partition;
-only digests of canonical texts are shuffled.
+spellings of a look, so the vocabulary never changes which texts are found equal.  Texts stay in their partition,
+unless words beyond the trie are joined; counts of spellings and digests of canonical texts are shuffled.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, slices
 from .lookfold import INVISIBLE, LATIN_LOOK, WIDE
 
-#: Texts whose words make the vocabulary, and the words it holds at most: bounds of what is broadcast.
-VOCABULARY_TEXTS, VOCABULARY_WORDS = 4_000, 100_000
+#: Words and letters the trie holds at most: bounds of what is broadcast.
+VOCABULARY_WORDS, VOCABULARY_LETTERS = 100_000, 1_000_000
 
 #: Dashes of any width; Arabic stretching; Thai and Lao letters made of two; marks drawn alike.
 _DASHES = {c: "-" for c in [0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2015, 0x2212, 0xFE58, 0xFE63, 0xFF0D]}
@@ -120,10 +121,13 @@ class Canon:
             got = self.memo[word] = form if got is None else got
         return got
 
-    def text(self, text: str) -> str:
+    def text(self, text: str, rest: dict[str, str] | None = None) -> str:
+        """``rest``: canonical spellings of bare forms the trie lacks."""
         # spaces first, so that words are seen whole; what does not show may stand alone between spaces
         if not text.isascii():
             text = _BETWEEN.sub(lambda m: _TO[m.group()], text)
+        if rest:
+            return _WORD.sub(lambda m: rest.get(w := self.word(m.group()), w), text)
         return _WORD.sub(lambda m: self.word(m.group()), text)
 
 
@@ -132,18 +136,60 @@ def _usable(word: str, form: str) -> bool:
     return word == form or (len(form) == len(word) or "\u200d" in word or "\u200c" in word) and not any(0xFF00 <= ord(c) < 0xFFF0 for c in word) and bare(word) == form
 
 
-def vocabulary(sources: list[tuple[DataFrame, str]], texts: int = VOCABULARY_TEXTS, words: int = VOCABULARY_WORDS) -> list[tuple[str, str, int]]:
-    """(bare form, most frequent spelling, count) of words of at most ``texts`` texts of each (table, column)."""
-    seen: dict[str, Counter[str]] = {}
+def _words(text: str) -> list[str]:
+    return _WORD.findall(text if text.isascii() else _BETWEEN.sub(lambda m: _TO[m.group()], text))
+
+
+def spellings(df: DataFrame, text_col: str) -> DataFrame:
+    """(form, spelling, n): counts of the spellings in all whole texts; partial, to be summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            rows = [(form, word, n) for word, n in seen.items() if (form := bare(word)) and _usable(word, form)]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["form", "spelling", "n"])
+
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                for text in part.column(0).to_pylist():
+                    seen.update(_words(text))
+                if len(seen) > 200_000:
+                    yield flush()
+        yield flush()
+
+    return df.where(df[text_col].isNotNull()).select(df[text_col].alias("_text")).mapInArrow(run, "form string, spelling string, n long")
+
+
+def vocabulary(sources: list[tuple[DataFrame, str]], words: int = VOCABULARY_WORDS, letters: int = VOCABULARY_LETTERS) -> tuple[list[tuple[str, str, int]], DataFrame | None]:
+    """(bare form, most frequent spelling, count) of words of all texts of the (table, column) pairs, at most ``words``
+    with ``letters`` in all; and a table (form, spelling) of those beyond whose spelling is not the bare form, if any.
+
+    Of spellings as frequent as each other the bare one counts; a word seen once is its bare form.
+    """
+    every = None
     for df, column in sources:
-        for (text,) in df.select(F.substring(df[column], 1, 1000)).where(df[column].isNotNull()).limit(texts).toLocalIterator():
-            for word in _WORD.findall(text if text.isascii() else _BETWEEN.sub(lambda m: _TO[m.group()], text)):
-                form = bare(word)
-                if form and _usable(word, form):
-                    seen.setdefault(form, Counter())[word] += 1
-    # of spellings as frequent as each other the bare one counts; a word seen once is its bare form
-    best = [(form, max(c, key=lambda w: (c[w], w == form, w)) if c.total() > 1 else form, c.total()) for form, c in seen.items()]
-    return sorted(best, key=lambda x: (-x[2], x[0]))[:words]
+        rows = spellings(df, column)
+        every = rows if every is None else every.unionByName(rows)
+    every = every.groupBy("form", "spelling").agg(F.sum("n").alias("n"))
+    best = every.groupBy("form").agg(F.max_by("spelling", F.struct("n", F.col("spelling") == F.col("form"), "spelling")).alias("spelling"), F.sum("n").alias("n"))
+    best = checkpoint(best.where("n > 1").select("form", "spelling", "n", (F.col("spelling") != F.col("form")).alias("other")))
+    top = best.orderBy(F.desc("other"), F.desc("n"), "form").limit(words).collect()
+    total, kept = 0, []
+    for r in top:
+        total += len(r["form"])
+        if total > letters:
+            break
+        kept.append(r)
+    rest = None
+    if all(r["other"] for r in kept) and (len(kept) == words or len(kept) < len(top) and top[len(kept)]["other"]):
+        rest = best.where("other").select("form", "spelling", "n")
+        if kept:
+            last = kept[-1]
+            rest = rest.where((F.col("n") < last["n"]) | (F.col("n") == last["n"]) & (F.col("form") > last["form"]))
+        rest = rest.select("form", "spelling")
+    return [(r["form"], r["spelling"], r["n"]) for r in kept], rest
 
 
 _CANONS: dict[tuple, Canon] = {}
@@ -165,14 +211,36 @@ def _mapped(df: DataFrame, words: list, max_cost: float, one, schema: str) -> Da
     return df.mapInArrow(run, schema)
 
 
-def canonical(df: DataFrame, words: list, id_col: str, text_col: str, max_cost: float = 0.0) -> DataFrame:
+def _with_rest(rows: DataFrame, words: list, rest: DataFrame) -> DataFrame:
+    """(_id, _text, _rest): texts with the spellings of their words that the trie lacks; equal texts share a key."""
+
+    def one(canon: Canon, part: pa.RecordBatch) -> pa.RecordBatch:
+        keys, forms = [], []
+        for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            own = {canon.word(w) for w in _words(text)}
+            keys += [key] * len(own)
+            forms += own
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(forms, pa.string())], names=["_key", "form"])
+
+    keyed = rows.withColumn("_key", F.md5("_text"))
+    held = _mapped(keyed.where("_text is not null").select("_key", "_text"), words, 0.0, one, "_key string, form string")
+    own = held.join(rest.hint("merge"), "form").groupBy("_key").agg(F.collect_set(F.struct("form", "spelling")).alias("_rest"))
+    return keyed.join(own.hint("merge"), "_key", "left").select("_id", "_text", "_rest")
+
+
+def canonical(df: DataFrame, words: list, id_col: str, text_col: str, max_cost: float = 0.0, rest: DataFrame | None = None) -> DataFrame:
     """(id, text): each text in its canonical form; null, empty and blank texts stay as they are."""
+    joined = rest is not None
 
     def one(canon: Canon, part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [canon.text(t) if t else t for t in part.column(1).to_pylist()]
+        found = part.column(2).to_pylist() if joined else [None] * part.num_rows
+        texts = [canon.text(t, {x["form"]: x["spelling"] for x in r or ()}) if t else t for t, r in zip(part.column(1).to_pylist(), found, strict=True)]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return _mapped(df.select(df[id_col].cast("long").alias("_id"), df[text_col].alias("_text")), words, max_cost, one, f"{id_col} long, text string")
+    rows = df.select(df[id_col].cast("long").alias("_id"), df[text_col].alias("_text"))
+    if joined:
+        rows = _with_rest(rows, words, rest)
+    return _mapped(rows, words, max_cost, one, f"{id_col} long, text string")
 
 
 def digests(df: DataFrame, words: list, id_col: str, text_col: str, record_table: str) -> DataFrame:
@@ -200,7 +268,7 @@ def found(sources: list[tuple[str, DataFrame, str, str]], words: list | None = N
     each copy of another spelling.  Null, empty and blank texts never count.  Rows are distinct.
     """
     if words is None:
-        words = vocabulary([(df, text) for _, df, _, text in sources])
+        words, _ = vocabulary([(df, text) for _, df, _, text in sources])  # words the trie lacks are compared bare
     every = None
     for name, df, id_col, text_col in sources:
         rows = digests(df, words, id_col, text_col, name)

@@ -38,8 +38,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     sources = _p2_sources(spark, d)
-    words = lookalike.vocabulary([(df, text) for _, df, _, text in sources])
-    events, phrases, pages = (_of(name, lookalike.canonical(df, words, id_col, text)) for name, df, id_col, text in sources)
+    words, rest = lookalike.vocabulary([(df, text) for _, df, _, text in sources])
+    events, phrases, pages = (_of(name, lookalike.canonical(df, words, id_col, text, rest=rest)) for name, df, id_col, text in sources)
     return events.unionByName(phrases).unionByName(pages)
 
 
