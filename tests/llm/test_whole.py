@@ -7,7 +7,7 @@ import hashlib
 import pytest
 
 pytest.importorskip("textevidence.llm")
-from textevidence.llm import lookalike, scan  # noqa: E402
+from textevidence.llm import langid, lookalike, scan  # noqa: E402
 from textevidence.llm import queries as q  # noqa: E402
 
 
@@ -70,3 +70,18 @@ def test_spellings_of_whole_texts_count(spark):
         words, rest = lookalike.vocabulary([(df, "text")], **bound)
         assert len(words) <= 1 and rest is not None
         assert sorted((r["id"], r["text"] or "") for r in lookalike.canonical(df, words, "id", "text", rest=rest).collect()) == sorted((i, t or "") for i, t in want.items())
+
+
+def test_segments_have_places(spark, data):
+    model = langid.train([tuple(r) for r in spark.read.parquet(f"{data}/lang_samples.parquet").select("lang", "text").collect()])
+    en = ["The river station repaired the wooden gate before the heavy rain.", "The old office near the river was closed for the whole month."]
+    bn = "\u09a8\u09a6\u09c0\u09b0 \u0998\u09be\u099f\u09c7\u09b0 \u0985\u09ab\u09bf\u09b8 \u09ae\u09be\u09b8\u09c7\u09b0 \u09b6\u09c7\u09b7 \u09b8\u09aa\u09cd\u09a4\u09be\u09b9\u09c7 \u099b\u09be\u09a6\u09c7\u09b0 \u09b0\u0982 \u09ab\u09bf\u09b0\u09bf\u09af\u09bc\u09c7\u099b\u09c7\u0964"
+    text = f"{en[0].replace('re', 're\u200b')} {en[1]} {bn} {en[1]}"
+    first, second = len(text) - len(en[1]), text.index(bn)
+    df = spark.createDataFrame([(1, text), (2, None), (3, " ")], "id long, text string")
+    want = [(1, 0, second - 1, "en", 2, "en"), (1, second, first - 1, "bn", 1, "en"), (1, first, len(text), "en", 1, "en")]
+    columns = ["id", "start_pos", "end_pos", "lang", "sentences", "main_lang"]
+    assert sorted(tuple(r) for r in langid.segments(df, model, "id", "text").select(columns).collect()) == want
+    wiki = f"{{{{Infobox|a=b}}}}{chr(39) * 3}{en[0]}{chr(39) * 3}\n== Head ==\n{bn}<ref>x</ref>\n"
+    got = langid.segments(spark.createDataFrame([(1, wiki)], "id long, text string"), model, "id", "text", True).collect()
+    assert {r["lang"]: wiki[r["start_pos"] : r["end_pos"]] for r in got} == {"en": en[0], "bn": bn}

@@ -9,9 +9,11 @@ and at most ``TRAIN_ROWS`` labelled rows; it drops rows whose label the first ro
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -250,28 +252,89 @@ def _read(part: pa.RecordBatch, markup: bool) -> list[str]:
     return [quick_fold(prose(t) if markup else t) if t else "" for t in texts]
 
 
+def _cut(text: str, places: list[tuple[int, int]], pattern: re.Pattern[str], to: str) -> tuple[str, list[tuple[int, int]]]:
+    """``pattern.sub(to, text)`` and the place in the original of each character."""
+    out, own, at = [], [], 0
+    for m in pattern.finditer(text):
+        out.append(text[at : m.start()])
+        own += places[at : m.start()]
+        if to == r"\1":
+            if m.group(1):
+                out.append(m.group(1))
+                own += places[m.start(1) : m.end(1)]
+        else:
+            out.append(to)
+            own += [places[m.start()]] * len(to)
+        at = m.end()
+    return "".join([*out, text[at:]]), own + places[at:]
+
+
+def placed(text: str, markup: bool) -> list[tuple[int, int]] | None:
+    """The place (start, end) in the original of each character of the text that ``_read`` gives; None: the same."""
+    if not markup and (text.isascii() or quick_fold(text) == text):
+        return None
+    want = quick_fold(prose(text) if markup else text)
+    places = [(i, i + 1) for i in range(len(text))]
+    if markup:
+        for pattern, to in _MARKUP:
+            text, places = _cut(text, places, pattern, to)
+    out: list[str] = []
+    own: list[tuple[int, int]] = []
+    at = 0
+    while at < len(text):  # a letter and its marks are folded together
+        end = at + 1
+        while end < len(text) and (unicodedata.category(text[end])[0] == "M" or 0x1160 <= ord(text[end]) <= 0x11FF or text[end] in "\uff9e\uff9f" or not quick_fold(text[end])):
+            end += 1
+        part = quick_fold(text[at:end])
+        out.append(part)
+        own += [(i, i + 1) for i, _ in places[at:end]] if len(part) == end - at else [(places[at][0], places[end - 1][1])] * len(part)
+        at = end
+    if (got := "".join(out)) == want:
+        return own
+    # marks that composed across what does not show: aligned by the characters both have
+    exact = [(-1, -1)] * len(want)
+    for a, b, n in SequenceMatcher(None, got, want, autojunk=False).get_matching_blocks():
+        exact[b : b + n] = own[a : a + n]
+    for k, x in enumerate(exact):
+        if x[0] < 0:
+            exact[k] = exact[k - 1] if k else own[0]
+    return exact
+
+
 def segments(df: DataFrame, matrix: tuple, id_col: str, text_col: str, markup: bool = False) -> DataFrame:
-    """(id, lang, sentences, confidence): one row per language with a whole sentence in the text.
+    """(id, start_pos, end_pos, lang, confidence, sentences, main_lang): one row per segment, neighbouring whole
+    sentences of one language united; what says too little between them belongs to no language and parts nothing.
 
-    Confidence is the least posterior among its sentences.  Null, empty and blank texts, and texts without a
-    sentence, give no row.  Ids that repeat are scored each for itself.
+    Positions count code points of the given text from 0, end exclusive.  Confidence is the least posterior among
+    the segment's sentences; main_lang is the language of most of the record's characters.  Null, empty and blank
+    texts, and texts without a sentence, give no row.  Ids that repeat are scored each for itself.
     """
+    names = [id_col, "start_pos", "end_pos", "lang", "confidence", "sentences", "main_lang"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.string()]
 
     def one(scorer: Scorer, part: pa.RecordBatch) -> pa.RecordBatch:
-        ids, langs, counts, confidences = [], [], [], []
-        for i, found in zip(part.column(0).to_pylist(), scorer.segments(_read(part, markup)), strict=True):
-            by: dict[str, list[float]] = {}
-            for lang, confidence, _, _ in found:
-                by.setdefault(lang, []).append(confidence)
-            for lang, values in by.items():
-                ids.append(i)
-                langs.append(lang)
-                counts.append(len(values))
-                confidences.append(min(values))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(counts, pa.int32()), pa.array(confidences, pa.float64())], names=[id_col, "lang", "sentences", "confidence"])
+        texts = _read(part, markup)
+        rows = []
+        for i, raw, text, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, scorer.segments(texts), strict=True):
+            if not found:
+                continue
+            united: list[list] = []
+            for lang, confidence, a, b in found:
+                a, b = a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())
+                if united and united[-1][2] == lang:
+                    united[-1][1], united[-1][3], united[-1][4] = b, min(united[-1][3], confidence), united[-1][4] + 1
+                else:
+                    united.append([a, b, lang, confidence, 1])
+            size: Counter[str] = Counter()
+            for lang, _, a, b in found:
+                size[lang] += b - a
+            main = max(size, key=size.__getitem__)
+            places = placed(raw, markup)
+            rows += [(i, places[a][0] if places else a, places[b - 1][1] if places else b, lang, confidence, n, main) for a, b, lang, confidence, n in united]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     rows = df.select(df[id_col].cast("long").alias("_id"), df[text_col].alias("_text")).where("_text is not null and _text != ''")
-    return _mapped(rows, matrix, one, f"{id_col} long, lang string, sentences int, confidence double")
+    return _mapped(rows, matrix, one, f"{id_col} long, start_pos long, end_pos long, lang string, confidence double, sentences int, main_lang string")
 
 
 def script_mix(text: str, langs: set[str]) -> str:
