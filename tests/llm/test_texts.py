@@ -193,6 +193,9 @@ def test_personal_data(finder, spark, data):
         f"Mr. {given_name} {family} left.": [(f"{given_name} {family}", "NAME")],
         f"signed by J. {family.upper()}, today": [(f"J. {family.upper()}", "NAME")],
         "P<BGDHOLDER<<C<D<<<<<<<<<<<<<<<<<<<<<<<<<<<<\n\nA012345678BGD9001125M3012316<<<<<<<<<<<<<<02": [("HOLDER<<C<D", "NAME"), ("A01234567", "IDNUM")],
+        "at 221B Baker Street, London NW1 since": [("221B Baker Street, London NW1", "ADDRESS")],
+        "ring +49 30 1234567, SSN 123-45-6789, 3 + 4 = 7, +5 points": [("+49 30 1234567", "PHONE"), ("123-45-6789", "IDNUM")],
+        "zero  one seven zero zero one two zero two seven eight": [("zero  one seven zero zero one two zero two seven eight", "PHONE")],
         "": [],
     }
     for text, want in cases.items():
@@ -201,6 +204,30 @@ def test_personal_data(finder, spark, data):
     assert [(wide[a:b], k) for a, b, k in finder.spans(wide)] == [("ａ＠mail.test", "EMAIL")]
 
 
+def test_no_boundary_is_too_far(finder, spark, data):
+    """However long a value is, it is found and redacted whole."""
+    parts = [r["name_part"] for r in spark.read.parquet(f"{data}/name_parts.parquet").where("script = 'latn' and kind = 'family'").collect()]
+    names, sub = " ".join(x.capitalize() for x in parts[:12]), "sub." * 300
+    cases = [
+        (f"{'x.' * 200}bob@{sub}example.com", "EMAIL"),
+        (f"{'b' * 500} [at] {sub}mail [dot] test", "EMAIL"),
+        (f"y at {sub}mail dot co dot test", "EMAIL"),
+        (f"House 205, {'Road 28, Block E, ' * 40}Keshtown", "ADDRESS"),
+        (f"12 {'Q' * 200} Lane, Keshtown", "ADDRESS"),
+        (names, "NAME"),
+        (f"J. {'K. ' * 60}{parts[0].capitalize()}", "NAME"),
+    ]
+    for value, kind in cases:
+        text = f"Then {value}, and on."
+        assert [(text[a:b], k) for a, b, k in finder.spans(text)] == [(value, kind)], value[:60]
+    gap = f"NID:{' ' * 400}918 350 7848296"
+    assert [gap[a:b] for a, b, _ in finder.spans(gap)] == ["918 350 7848296"]
+    mrz = "P<BGDHOLDER<<C<D<<<<<<<<<<<<<<<<<<<<<<<<<<<<\nA012345678BGD9001125M3012316123456789012345602"
+    assert [mrz[a:b] for a, b, _ in finder.spans(mrz)] == ["HOLDER<<C<D", "A01234567"]
+    for bulk in ("@" * 20_000, "a@" * 20_000, "<" * 20_000, " dot" * 20_000, "+1 " * 20_000, "house " * 20_000, "J. " * 20_000, parts[0] * 3_000, "at]" * 20_000):
+        finder.spans(bulk)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("a1@. <P০-\n​ＡHouse,"), max_size=60))
 def test_spans_are_ordered(text):

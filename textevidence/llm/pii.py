@@ -2,8 +2,10 @@
 
 Anchor expansion: one Aho-Corasick automaton finds at-signs, number prefixes, identifier and address cues, and
 the parts and endings of person names; deterministic local parsers then expand each hit and validate its
-boundaries.  The automaton is built from fixed cues and the table of name parts (a few hundred rows; checked) and
-broadcast as its word list.  Texts stay in their partition; there is no shuffle.
+boundaries, however far they lie: no parser stops at a fixed distance.  The automaton is built from fixed cues and
+the table of name parts (a few hundred rows; checked) and broadcast as its word list.  Number plans are data: digits
+by identity cue, one national plan of telephone numbers, and any number with its international prefix.  Texts stay
+in their partition; there is no shuffle.
 """
 
 from __future__ import annotations
@@ -28,10 +30,16 @@ KINDS = ["EMAIL", "IDNUM", "PHONE", "ADDRESS", "NAME"]
 MOST_NAMES = 100_000
 
 #: Cues of identity numbers, of addresses and before names.
-ID_CUES = ["nid", "national id", "passport", "identity card", "id card", "পরিচ\u09dfপত্র", "পরিচ\u09af\u09bcপত্র", "এনআইডি", "পাসপোর্ট", "ausweis", "reisepass", "carte d", "dni", "pasaporte", "passeport"]
+ID_CUES = ["ssn", "social security", "aadhaar", "nid", "national id", "passport", "identity card", "id card", "পরিচ\u09dfপত্র", "পরিচ\u09af\u09bcপত্র", "এনআইডি", "পাসপোর্ট", "ausweis", "reisepass", "carte d", "dni", "pasaporte", "passeport"]
 ADDRESS_CUES = ["house", "flat ", "h-", "vill", " lane", " street", "rue ", "calle ", "weg ", "straße ", "strasse ", "বা\u09dcি", "বা\u09a1\u09bcি", "হোল্ডিং", "লেন", "ফ্ল্যাট", "গ্রাম", "holding", "apt"]
 NAME_CUES = ["mr.", "mrs.", "ms.", "dr.", "prof.", "engr.", "mme ", "mlle ", "frau ", "herr ", "sr.", "sra.", "dra.", "জনাব", "ড.", "ডা.", "অধ্যা.", "name:", "নাম:", "proprietor:", "মালিক", "আমার নাম", "my name is", "signed by", "appelle", "me llamo", "ich heiße", "amar nam", "i spoke with"]
-NUMBER_CUES = ["01", "০১", "+88", "+৮৮", "0088", "০০৮৮", "880", "৮৮০", "zero one"]
+NUMBER_CUES = ["01", "০১", "+", "0088", "০০৮৮", "880", "৮৮০", "zero"]
+
+#: Digits of identity numbers without letters, by cue; "" for all other cues.
+ID_DIGITS = {"": (10, 13, 17), "ssn": (9,), "social security": (9,), "aadhaar": (12,)}
+
+#: Digits of a telephone number with its international prefix.
+WORLD_DIGITS = range(8, 16)
 
 _SPACE = r"[\s ]"
 _DIGITS = {c: str(i % 10) for base in (0x09E6, 0x0966, 0x0660, 0x06F0) for i, c in enumerate(range(base, base + 10))}
@@ -43,31 +51,38 @@ _HIDDEN = re.compile(f"[{INVISIBLE}]")
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _DOT = r"(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+)"
-_EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@|\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+(?={_LABEL}(?:\.{_LABEL})*\s+dot\s)){_LABEL}(?:{_DOT}{_LABEL})+", re.I)
+_DOMAIN = re.compile(rf"\s*({_LABEL}(?:{_DOT}{_LABEL})+)", re.I)
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = _LOCAL - frozenset("_%+")
 _SEP = r"[\s.\-]{0,2}"
 _PHONE = re.compile(rf"(?<![\w/@])(?<!\d[.\-])(?:\(\+?88\){_SEP}(?=0)|\+?88[\s.\-]?(?=0)|\+?880{_SEP}(?=1)|00880{_SEP}(?=1)|0088{_SEP}(?=0))?0?1{_SEP}[3-9](?:{_SEP}\d){{8}}(?![\d\w]|[.\-/]\d)")
 _SPOKEN = re.compile(r"\bzero\s+one(?:\s+(?:zero|one|two|three|four|five|six|seven|eight|nine)){9}\b", re.I)
-_ID = re.compile(r"\s*(?:(?:no|number|nr|num|নং|নম্বর|card)\.?)?[\s:#.\-–]*((?<![\dA-Za-z])(?:[A-Z]{1,2}\s?\d{6,9}|\d(?:[ \n\-]?\d){9,16}))(?![\dA-Za-z]|[-/]\d)", re.I)
+_WORLD = re.compile(r"(?<![\w+/@])\+[1-9](?:[ .\-]{0,2}\(?\d\)?){7,14}(?![\w]|[.\-/]\d)")
+_PHONE_CHARS = 48  # the longest number of the plan with two separators between any two of its digits
+_ID = re.compile(r"\s*(?:(?:no|number|nr|num|নং|নম্বর|card)\.?)?[\s:#.\-–]*((?<![\dA-Za-z])(?:[A-Z]{1,2}\s?\d{6,9}|\d(?:[ \n\-]?\d){8,16}))(?![\dA-Za-z]|[-/]\d)", re.I)
 _MRZ_NAME = re.compile(r"P<[A-Z]{3}([A-Z]+(?:<[A-Z]+)*<<[A-Z]+(?:<[A-Z]+)*)|(?<![A-Z<])([A-Z]+(?:<[A-Z]+)*<<[A-Z]+(?:<[A-Z]+)*)(?![A-Z])")
 _MRZ_NUMBER = re.compile(r"(?<![A-Z0-9<])([A-Z0-9<]{9})[0-9<][A-Z]{3}[0-9]{6}[0-9<][MFX<][0-9]{6}[0-9<][A-Z0-9<]{2,}")
 
+_RUN = re.compile(r"[A-Z0-9<]+")
 _PLACE = r"(?:[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ]+|[ঀ-ৣ]{3,})"
-_CITY = rf"(?:\d{{4,6}}\s+{_PLACE}|P\.?\s?O\.?\s+Box\s+\d+|{_PLACE}(?:-\d{{3,6}})?)"
+_CITY = rf"(?:\d{{4,6}}\s+{_PLACE}|P\.?\s?O\.?\s+Box\s+\d+|{_PLACE}(?:-\d{{3,6}}|\s+(?-i:[A-Z]{{1,2}}\d{{1,2}}[A-Z]?)(?:\s+(?-i:\d[A-Z]{{2}}))?\b)?)"
 _BARI = "বা(?:\u09dc|\u09a1\u09bc)ি"
 _WARD = "ও(?:\u09df|\u09af\u09bc)ার্ড"
 _SARAK = f"(?:রোড|স(?:\u09dc|\u09a1\u09bc)ক|{_WARD}|সেক্টর|ব্লক|লেন)"
 _UNIT = rf"(?:(?:Road|Block|Sector|Ward|Lane|Street)\s+\w+|R-\d+|\d+[A-Z]?(?:/\d+)?\s+(?:\w+\s+)?(?:Lane|Street|Road|Avenue)|\d+º\s?\w|{_SARAK}(?:\s+নং)?\s+\d+\w?|\d+(?:/\d+)?\s+[ঀ-ৣ]+\s+লেন)"
 _HEAD = (
-    rf"(?:(?:House|Flat|Holding|Apt\.?)\s+\d+[A-Z]?(?:/\d+)?|H-\d+|\d+/\d+\s+\w+\s+(?:Lane|Street|Road)|\d+\s+\w+\s+(?:Lane|Street)|Vill(?:\.|age)?\s+{_PLACE}"
+    rf"(?:(?:House|Flat|Holding|Apt\.?)\s+\d+[A-Z]?(?:/\d+)?|H-\d+|\d+/\d+\s+\w+\s+(?:Lane|Street|Road)|\d+[A-Z]?\s+\w+\s+(?:Lane|Street)|Vill(?:\.|age)?\s+{_PLACE}"
     rf"|(?:{_BARI}|হোল্ডিং|ফ্ল্যাট)(?:\s+নং)?\s+\d+\w?|\d+(?:/\d+)?\s+[ঀ-ৣ]+\s+লেন|গ্রাম\s+[ঀ-ৣ]+|\d+\s+(?:rue|avenue|boulevard)\s+(?:\w+\s+)?\w+|Calle\s+\w+\s+\d+|\w+(?:weg|straße|strasse|gasse)\s+\d+\w?)"
 )
 _ADDRESS = re.compile(rf"(?<![\w/-]){_HEAD}(?:,\s*{_UNIT})*,\s*{_CITY}", re.I)
 
 _TOKEN = re.compile(r"[A-Za-zÀ-ɏ]+|[ঀ-ৣ]+")
-_BEFORE = re.compile(r"(?:(?<![\w.])([A-Z])\.|([A-Za-zÀ-ɏ]+|[ঀ-ৣ]+))\s+\Z")
+_EDGE = re.compile(r"(?<![\w/-])(?=\w)")
 _AFTER = re.compile(r"\s+([A-Za-zÀ-ɏ]+|[ঀ-ৣ]+)")
 _TITLE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|Engr|Sr|Sra|Dra|M)\.|\b(?:Mme|Mlle|Frau|Herr|bhai)|জনাব|ড\.|ডা\.|অধ্যা\.|\bName:|নাম:|Proprietor:|মালিক|আমার নাম|\bmy name is|\bsigned by|appelle|\bme llamo|\bich heiße|\bamar nam|\bspoke with)\s+\Z", re.I)
 _TITLED = re.compile(r"(?:[A-Z]\. )*([A-Z][a-z]{2,}) ([A-Z][a-z]{3,})(?![\w@]|[.\w]*@)")
+_ADDRESSED = re.compile(r"[.\-+]\w*[\w.]*@")
+_SPACES = re.compile(r"\s*")
 _FRENCH = re.compile(r"\s+(?:est|habite|a|était|vit)\b")
 
 
@@ -91,7 +106,7 @@ class Finder:
         words: dict[str, str] = {}
         for w in self.family | set(self.family_ends):
             words[w] = "name"
-        for kind, cues in (("id", ID_CUES), ("address", ADDRESS_CUES), ("cue", NAME_CUES), ("number", NUMBER_CUES), ("mail", ["@", "at]", "at)", " dot "]), ("mrz", ["<<"])):
+        for kind, cues in (("id", ID_CUES), ("address", ADDRESS_CUES), ("cue", NAME_CUES), ("number", NUMBER_CUES), ("mail", ["@", "at]", "at)", " dot "]), ("mrz", ["<"])):
             for w in cues:
                 words[w] = kind
         self.automaton = ahocorasick.Automaton()
@@ -109,6 +124,9 @@ class Finder:
 
     def name(self, text: str, start: int, end: int) -> tuple[int, int] | None:
         """The name around a family part that ends at ``end``."""
+        latin = _latin(text[end - 1])
+        if end < len(text) and _letter(text[end], latin):
+            return None
         while start > 0 and (text[start - 1].isalpha() or "ঀ" <= text[start - 1] <= "ৣ"):
             start -= 1
         m = _TOKEN.match(text, start)
@@ -116,35 +134,68 @@ class Finder:
             return None
         if start and text[start - 1] in "@._-/+" and not (text[start - 1] == "." and start > 1 and text[start - 2].isupper()):
             return None
-        if text[end : end + 1] in ("@", "_") or re.match(r"[.\-+]\w*[\w.]*@", text[end : end + 40]):
+        if text[end : end + 1] in ("@", "_") or _ADDRESSED.match(text, end):
             return None
         parts, left = 1, start
-        while parts < 6:
-            window = text[max(0, left - 30) : left]
-            m = _BEFORE.search(window)
-            if m is None:
-                break
-            at = left - (len(window) - m.start())
-            initial, word = m.group(1), m.group(2)
+        while (before := _word_before(text, left)) is not None:
+            at, initial, word = before
             if initial:
-                if initial == "M" and not _TITLE.search(text[max(0, at - 14) : at]) and (parts > 1 or _FRENCH.match(text, end)):
+                if initial == "M" and not _titled(text, at) and (parts > 1 or _FRENCH.match(text, end)):
                     break  # Monsieur
-                parts, left = parts + 1, at
-            elif self.is_given(word) or self.is_family(word):
-                parts, left = parts + 1, at
-            elif word[0].isupper() and parts == 1 and _TITLE.search(text[max(0, at - 16) : at]) and not _TITLE.search(word + " "):
-                parts, left = parts + 1, at
-            else:
+            elif not (self.is_given(word) or self.is_family(word)) and not (word[0].isupper() and parts == 1 and _titled(text, at) and not _TITLE.search(word + " ")):
                 break
+            parts, left = parts + 1, at
         right = end
         while m := _AFTER.match(text, right):
             if not self.is_family(m.group(1)) or text[m.end() : m.end() + 1] in ("@", "_"):
                 break
             parts, right = parts + 1, m.end()
-        if parts < 2 and not _TITLE.search(text[max(0, left - 16) : left]):
+        if parts < 2 and not _titled(text, left):
             return None
         return left, right
 
+    @staticmethod
+    def mail(text: str, start: int, end: int, floor: int) -> tuple[int, int] | None:
+        """The address around an at-sign, spelled out or not, or around a spelled-out dot; not before ``floor``."""
+        if text[start].isspace():  # a dot: the host's first labels, then the word "at"
+            i = _back(text, start, floor)
+            while i > floor and text[i - 1] in _HOST:
+                i -= 1
+            host, j = i, _back(text, i, floor)
+            if j == i or text[j - 2 : j].lower() != "at" or j - 2 <= floor or not text[j - 3].isspace():
+                return None
+            begin = stop = _back(text, j - 2, floor)
+            end = host
+        elif text[start] == "@":
+            begin = stop = start
+        else:
+            i = _back(text, start, floor)
+            if i <= floor or text[i - 1] not in "[(":
+                return None
+            begin = stop = _back(text, i - 1, floor)
+        while begin > floor and text[begin - 1] in _LOCAL:
+            begin -= 1
+        m = _DOMAIN.match(text, end)
+        if m is None or not any(c.isalnum() for c in text[begin:stop]) or text[start] == "@" and m.start(1) != end:
+            return None
+        tail = re.search(r"\.([A-Z][a-z]+)\Z", m.group(1))
+        if tail and (host := m.group(1)[: tail.start()]).islower() and text[begin:stop].lower() == text[begin:stop] and "." in host:
+            return begin, m.start(1) + tail.start()  # the next sentence, without a space
+        return begin, m.end(1)
+
+    @staticmethod
+    def address(text: str, start: int, end: int) -> tuple[int, int] | None:
+        """The address whose head holds the cue: it begins at the cue's word or up to two words before."""
+        left = start
+        for _ in range(3):
+            left = _back(text, left, 0)
+            while left > 0 and not text[left - 1].isspace():
+                left -= 1
+        for edge in _EDGE.finditer(text, left, end):
+            if (m := _ADDRESS.match(text, edge.start())) and start <= m.end():
+                return m.span()
+        return None
+
     def spans(self, raw: str, cue: str | None = None) -> list[tuple[int, int, str]]:
         """(start, end, kind), sorted and without overlap.  ``cue`` names a field whose whole text may be a value."""
         text, place = _flat(raw)
@@ -152,10 +203,9 @@ class Finder:
         if len(low) != len(text):
             low = "".join(c.lower()[:1] for c in text)
         found: list[tuple[int, int, str]] = []
-        done = {"mail": -1, "number": -1, "address": -1}
+        done = {"mail": -1, "number": -1, "address": -1, "mrz": -1}
         if cue == "id" and (m := re.search(r"(?<![\w-])([A-Z]{1,2}\s?\d{6,9}|\d(?:[ \n\-]?\d){9,16})\s*\Z", text, re.I)) and _valid_id(m.group(1)):
             found.append((m.start(1), m.end(1), "IDNUM"))
-        mrz = False
         for end, (kind, size) in self.automaton.iter(low.replace("\n", " ")):
             end += 1
             start = end - size
@@ -163,62 +213,93 @@ class Finder:
                 if (hit := self.name(text, start, end)) is not None:
                     found.append((*hit, "NAME"))
             elif kind == "cue":
-                if (m := _TITLED.match(text, re.compile(r"\s*").match(text, end).end())) and m.group(1).lower() in self.given and not self.is_family(m.group(2)):
+                if (m := _TITLED.match(text, _SPACES.match(text, end).end())) and m.group(1).lower() in self.given and not self.is_family(m.group(2)):
                     found.append((m.start(), m.end(), "NAME"))
             elif kind == "mail":
-                if start < done["mail"]:
-                    continue
-                for m in _EMAIL.finditer(text, max(0, start - 70), min(len(text), end + 90)):
-                    if m.start() < start < m.end():
-                        stop = m.end()
-                        tail = re.search(r"\.([A-Z][a-z]+)\Z", m.group())
-                        if tail and m.group()[: tail.start()].islower() and "." in m.group()[: tail.start()].partition("@")[2]:
-                            stop = m.start() + tail.start()  # the next sentence, without a space
-                        begin = m.start()
-                        while begin > 0 and text[begin - 1] in "._%+-" or begin > 0 and text[begin - 1].isascii() and text[begin - 1].isalnum():
-                            begin -= 1
-                        found.append((begin, stop, "EMAIL"))
-                        done["mail"] = stop
-                        break
+                if start >= done["mail"] and (hit := self.mail(text, start, end, max(0, done["mail"]))) is not None:
+                    found.append((*hit, "EMAIL"))
+                    done["mail"] = hit[1]
             elif kind == "number":
                 if start < done["number"]:
                     continue
-                for m in (_SPOKEN if size > 6 else _PHONE).finditer(text, max(0, start - 8), min(len(text), end + 90)):
-                    if m.start() <= start < m.end():
-                        found.append((m.start(), m.end(), "PHONE"))
-                        done["number"] = m.end()
-                        break
+                if size == 4 and text[start].isalpha():
+                    hits = [m] if (m := _SPOKEN.match(text, start)) else []
+                else:
+                    hits = [m for m in _PHONE.finditer(text, max(0, start - 8), min(len(text), end + _PHONE_CHARS)) if m.start() <= start < m.end()]
+                    if not hits and size == 1 and (m := _WORLD.match(text, start)) and sum(c.isdigit() for c in m.group()) in WORLD_DIGITS:
+                        hits = [m]
+                if hits:
+                    found.append((*hits[0].span(), "PHONE"))
+                    done["number"] = hits[0].end()
             elif kind == "id":
-                if (m := _ID.match(text, end)) and m.start(1) - end < 24 and (start == 0 or not low[start - 1].isalpha() or not low[start].isascii()):
-                    value = m.group(1)
-                    while not _valid_id(value) and "\n" in value:  # the next line's number is another one
+                if (m := _ID.match(text, end)) and (start == 0 or not low[start - 1].isalpha() or not low[start].isascii()):
+                    value, lengths = m.group(1), ID_DIGITS.get(low[start:end], ID_DIGITS[""])
+                    while not _valid_id(value, lengths) and "\n" in value:  # the next line's number is another one
                         value = value.rpartition("\n")[0]
-                    if _valid_id(value):
+                    if _valid_id(value, lengths):
                         found.append((m.start(1), m.start(1) + len(value), "IDNUM"))
             elif kind == "address":
-                if start < done["address"]:
-                    continue
-                for m in _ADDRESS.finditer(text, max(0, start - 40), min(len(text), end + 140)):
-                    if m.start() <= end and start <= m.end():
-                        found.append((m.start(), m.end(), "ADDRESS"))
-                        done["address"] = m.end()
-                        break
-            else:
-                mrz = True
-        if mrz or "<" in text:
-            for m in _MRZ_NAME.finditer(text):
-                k = 1 if m.group(1) else 2
-                found.append((m.start(k), m.end(k), "NAME"))
-            for m in _MRZ_NUMBER.finditer(text):
-                found.append((m.start(1), m.end(1), "IDNUM"))
+                if start >= done["address"] and (hit := self.address(text, start, end)) is not None:
+                    found.append((*hit, "ADDRESS"))
+                    done["address"] = hit[1]
+            elif start >= done["mrz"]:
+                a, b = start, end
+                while a > 0 and (text[a - 1] == "<" or text[a - 1].isascii() and (text[a - 1].isdigit() or text[a - 1].isupper())):
+                    a -= 1
+                b = _RUN.match(text, start).end()
+                done["mrz"] = b
+                for m in _MRZ_NAME.finditer(text, a, b):
+                    k = 1 if m.group(1) else 2
+                    found.append((m.start(k), m.end(k), "NAME"))
+                found += [(m.start(1), m.end(1), "IDNUM") for m in _MRZ_NUMBER.finditer(text, a, b)]
+                # the line of the number, which may hold no filler, follows that of the name
+                if (m := _RUN.match(text, _SPACES.match(text, b).end())) and (m := _MRZ_NUMBER.match(text, m.start(), m.end())):
+                    found.append((m.start(1), m.end(1), "IDNUM"))
         return _settle(found, place, raw)
 
 
-def _valid_id(value: str) -> bool:
+def _latin(c: str) -> bool:
+    return c.isascii() and c.isalpha() or "À" <= c <= "ɏ"
+
+
+def _letter(c: str, latin: bool) -> bool:
+    return _latin(c) if latin else "ঀ" <= c <= "ৣ"
+
+
+def _back(text: str, at: int, floor: int) -> int:
+    """The place where the white space before ``at`` begins."""
+    while at > floor and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _word_before(text: str, left: int) -> tuple[int, str, str] | None:
+    """(start, initial, word) of the initial with its full stop or the word before the white space before ``left``."""
+    end = _back(text, left, 0)
+    if end == left or end == 0:
+        return None
+    if text[end - 1] == ".":
+        at = end - 2
+        if at < 0 or not "A" <= text[at] <= "Z" or at and (text[at - 1] in "._" or text[at - 1].isalnum()):
+            return None
+        return at, text[at], ""
+    latin = _latin(text[end - 1])
+    at = end
+    while at > 0 and _letter(text[at - 1], latin):
+        at -= 1
+    return (at, "", text[at:end]) if at < end else None
+
+
+def _titled(text: str, left: int) -> bool:
+    """Whether a title or another cue of a name stands before ``left``."""
+    return _TITLE.search(text, max(0, _back(text, left, 0) - 16), left) is not None
+
+
+def _valid_id(value: str, lengths: tuple[int, ...] = ID_DIGITS[""]) -> bool:
     digits = sum(c.isdigit() for c in value)
     if value[0].isalpha():
         return 6 <= digits <= 9
-    return digits in (10, 13, 17) and len(set(c for c in value if c.isdigit())) > 1
+    return digits in lengths and len(set(c for c in value if c.isdigit())) > 1
 
 
 def _flat(raw: str) -> tuple[str, list[int] | None]:
