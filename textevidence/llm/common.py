@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folder with the public tokenizers' files; a parameter of the deployment.
 TOKENIZER_DIR = os.environ.get("TEXTEVIDENCE_TOKENIZERS", "/opt/tokenizers")
@@ -55,3 +56,9 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lens)
     return np.repeat(starts - (ends - lens), lens) + np.arange(total)
+
+
+def sample(df: DataFrame, rows: int, *columns: str) -> list[tuple]:
+    """At most ``rows`` rows, those of least hash: the same whatever the order of rows and files."""
+    keyed = df.select(*columns)
+    return [tuple(r)[:-1] for r in keyed.withColumn("_order", F.xxhash64(*keyed.columns)).orderBy("_order", *keyed.columns).limit(rows).collect()]

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices
+from .common import checkpoint, sample, slices
 from .lookfold import quick_fold
 from .sentences import ABBREVIATIONS
 
 LANGUAGES = ["en", "bn", "banglish", "fr", "de", "es", "hi", "zh", "ja", "th", "ar"]
 
-#: Buckets of the hashed n-grams; n-gram lengths; the bound of the labelled sample; words a worker remembers.
-BUCKETS, GRAMS, TRAIN_ROWS, MEMO_SIZE = 1 << 16, (1, 2, 3, 4), 6_000, 400_000
+#: Buckets of the hashed n-grams; n-gram lengths; bounds of the labelled and of the clean sample; words a worker remembers.
+BUCKETS, GRAMS, TRAIN_ROWS, SAMPLE_ROWS, MEMO_SIZE = 1 << 16, (1, 2, 3, 4), 6_000, 20_000, 400_000
 
 #: A text of at most so many characters says too little.
 LEAST_CHARS = 15
@@ -209,13 +209,17 @@ _MARKUP = [
     (re.compile(r"<!--.*?(?:-->|\Z)", re.S), " "), (re.compile(r"<ref[^>/]*/>|<ref[^>]*>.*?(?:</ref>|\Z)", re.S | re.I), " "), (re.compile(r"<(nowiki|math|gallery|code|pre|syntaxhighlight)[^>]*>.*?</\1>", re.S | re.I), " "),
     (re.compile(r"\{\|.*?(?:\n\|\}|\Z)", re.S), "\n"), (re.compile(r"\{\{[^{}]*\}\}"), " "), (re.compile(r"\{\{[^{}]*\}\}"), " "), (re.compile(r"\{\{[^{}]*\}\}"), " "),
     (re.compile(r"\[\[[^\[\]|:]*:[^\[\]]*\]\]"), " "), (re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]"), r"\1"), (re.compile(r"\[https?://\S+ ?([^\]]*)\]|https?://\S+"), r"\1"),
-    (re.compile(r"^\s*=+.*?=+\s*$|^[|!*#;:].*$|__[A-Z]+__|<[^<>]*>|^\s*\|.*$", re.M), "\n"), (re.compile(r"'{2,}"), ""),
+    (re.compile(r"^\s*=+.*?=+\s*$|^[|!].*$|^[*#;:]+|__[A-Z]+__|<[^<>]*>|^\s*\|.*$", re.M), "\n"), (re.compile(r"'{2,}"), ""),
 ]
 
 
+#: Words that turn a page into a redirect, in the wikis of the languages.
+_REDIRECT = re.compile(r"\s*#\s*(?:redirect|redirection|weiterleitung|redirección|redireccion|redirige|পুনর্নির্দেশ|পুননির্দেশ|पुनर्प्रेषित|अनुप्रेषित|重定向|转送|転送|リダイレクト|เปลี่ยนทาง|تحويل)\b", re.I)
+
+
 def prose(text: str) -> str:
     """A wiki text without its markup, tables, templates, references and headings."""
-    if text[:1] == "#" or text[:12].lstrip()[:1] == "#":
+    if _REDIRECT.match(text):
         return ""
     for pattern, to in _MARKUP:
         text = pattern.sub(to, text)
@@ -226,9 +230,10 @@ _SCORERS: dict[int, Scorer] = {}
 
 
 def fit(samples: DataFrame, labelled: list[tuple[DataFrame, str, str]] = (), rows: int = TRAIN_ROWS) -> tuple[np.ndarray, frozenset[str]]:
-    """Train on ``samples`` (lang, text; small) and at most ``rows`` labelled rows of each given (table, label, text)."""
-    noisy = [(r[0], r[1]) for df, label, text in labelled for r in df.select(df[label], F.substring(df[text], 1, 600)).where(df[label].isNotNull() & (F.length(df[text]) > LEAST_CHARS)).limit(rows).collect()]
-    return train([(r[0], r[1]) for r in samples.select("lang", "text").where("lang is not null and text is not null").limit(20_000).collect()], noisy)
+    """Train on ``samples`` (lang, text; at most ``SAMPLE_ROWS`` rows) and on at most ``rows`` labelled rows of each given
+    (table, label, text): those of least hash, so that the model does not depend on the order of rows."""
+    noisy = [r for df, label, text in labelled for r in sample(df.where(df[label].isNotNull() & (F.length(df[text]) > LEAST_CHARS)), rows, label, text)]
+    return train(sample(samples.where("lang is not null and text is not null"), SAMPLE_ROWS, "lang", "text"), noisy)
 
 
 def _mapped(df: DataFrame, matrix: tuple, one, schema: str) -> DataFrame:
@@ -378,6 +383,6 @@ def found(events: DataFrame, docs: DataFrame, matches: DataFrame, samples: DataF
         return df.where("wrong").select(F.lit(name).alias("record_table"), "record_id", F.explode("langs").alias("lang"))
 
     scripts = of_events.where("script is not null").select(F.col("record_id").alias("event_id"), "script")
-    wrong = matches.select("match_id", "event_id", "script_mix").join(scripts, "event_id").where("script_mix is null or script_mix != script")
+    wrong = matches.select("match_id", "event_id", "script_mix").join(scripts.hint("merge"), "event_id").where("script_mix is null or script_mix != script")
     matched = wrong.select(F.lit("cue_matches").alias("record_table"), F.col("match_id").cast("long").alias("record_id"), F.col("script").alias("lang"))
     return rows(of_events, "corpus_events").unionByName(rows(of_docs, "documents")).unionByName(matched)
