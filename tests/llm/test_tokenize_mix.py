@@ -70,9 +70,34 @@ def test_permutation(size, key):
 
 def test_draws():
     quota = {"a": 700, "b": 200, "c": 100}
-    rows = mixing.draw(quota, 7, 1)
-    assert {s: sum(n for _, x, _, n, _ in rows if x == s) for s in quota} == quota
-    assert [sum(n for k, *_, n, _ in rows if k == shard) for shard in range(7)] == [1000 * (k + 1) // 7 - 1000 * k // 7 for k in range(7)]
+    rows = list(mixing.draw(quota, 7, 1))
+    assert [sum(n[k] for _, _, n in rows) for k in range(3)] == [700, 200, 100]
+    assert [sum(n) for _, _, n in rows] == [1000 * (k + 1) // 7 - 1000 * k // 7 for k in range(7)]
+    for (_, used, n), (_, after, _) in zip(rows, rows[1:], strict=False):
+        assert [a + b for a, b in zip(used, n, strict=True)] == after
+    for first in range(7):  # any task finds the same counts
+        assert list(mixing.draw(quota, 7, 1, first, first + 2)) == rows[first : first + 2]
+
+
+def test_draws_of_any_size():
+    """Beyond a thousand million blocks, too, shards are full and quotas are met."""
+    quota = {"a": 7 * 10**12, "b": 2 * 10**12, "c": 10**12 + 1, "d": 1}
+    total, shards = sum(quota.values()), 5 * 10**9
+    for shard, used, n in [*mixing.draw(quota, shards, 3, 10**9, 10**9 + 3), *mixing.draw(quota, shards, 3, shards - 1)]:
+        assert sum(n) == total * (shard + 1) // shards - total * shard // shards and min(n) >= 0
+        assert sum(used) == total * shard // shards
+    assert [a + b for a, b in zip(used, n, strict=True)] == [quota[s] for s in sorted(quota)]
+
+
+@pytest.mark.parametrize(("good", "bad", "n"), [(7, 5, 6), (300, 900, 100), (50, 3, 40), (1, 10, 4)])
+def test_hypergeometric(good, bad, n):
+    import math
+    import random
+
+    rng = random.Random(5)
+    got = [mixing.hypergeometric(good, bad, n, rng) for _ in range(4000)]
+    mean, spread = n * good / (good + bad), n * good * bad * (good + bad - n) / (good + bad) ** 2 / (good + bad - 1)
+    assert abs(np.mean(got) - mean) < 5 * math.sqrt(spread / 4000) + 1e-9 and abs(np.var(got) / spread - 1) < 0.12
 
 
 def test_quotas():

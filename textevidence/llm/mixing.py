@@ -2,26 +2,30 @@
 
 Tokens of each source are packed, in a pseudorandom order of its records, into blocks of fixed length.  Block
 numbers come from prefix sums over (source, bucket), so no task sees a whole source.  Source counts of every
-output shard are multinomial draws, conditioned on the sums the target shares fix; the j-th use of a source
-goes through the permutation of its blocks for epoch j div blocks, and slots meet blocks in an equi-join.
-Only one row per target source, and at most ``MAX_SHARDS`` rows of counts, ever reach the driver.
+output shard are multinomial draws, conditioned on the sums the target shares fix.  Each task draws the counts of
+its own shards: the quotas are split in two again and again, from all shards down to one, and every split is a draw
+that seed and shards alone decide, so all tasks agree without a table of counts.  The j-th use of a source goes
+through the permutation of its blocks for epoch j div blocks, and slots meet blocks in an equi-join.
+Only one row per target source ever reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, ragged
 from .tokenize import count_tokens
 
-#: Tokens of a block, blocks of a shard (grown where shards would exceed MAX_SHARDS), buckets of a source.
-BLOCK_TOKENS, SHARD_BLOCKS, MAX_SHARDS, BUCKETS = 256, 2048, 10_000, 1024
+#: Tokens of a block, blocks of a shard, least buckets of a source, records from which there are more of them.
+BLOCK_TOKENS, SHARD_BLOCKS, BUCKETS, BUCKET_RECORDS = 256, 2048, 1024, 100_000
 
 
 def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -58,29 +62,58 @@ def quotas(tokens: dict[str, int], targets: dict[str, tuple[float, int]], block_
     return out
 
 
-def draw(quota: dict[str, int], shards: int, seed: int) -> list[tuple[int, str, int, int, int]]:
-    """(shard, source, uses before, uses, slots before): multinomial counts given that each source meets its quota."""
-    names, rng = sorted(quota), np.random.default_rng(seed)
-    left = np.array([quota[s] for s in names], np.int64)
-    used, rows, total = np.zeros_like(left), [], int(left.sum())
-    for k in range(shards):
-        size = total * (k + 1) // shards - total * k // shards
-        method = "marginals" if left.sum() < 1_000_000_000 else "count"
-        counts = left.copy() if k == shards - 1 else rng.multivariate_hypergeometric(left, size, method=method) if method == "marginals" else np.minimum(rng.multinomial(size, left / left.sum()), left)
-        before = 0
-        for s, u, c in zip(names, used.tolist(), counts.tolist(), strict=True):
-            rows.append((k, s, u, c, before))
-            before += c
-        used += counts
-        left = left - counts
-    return rows
+def hypergeometric(good: int, bad: int, n: int, rng: random.Random) -> int:
+    """How many of ``n`` drawn from good + bad are good; of any size, by a ratio of uniforms."""
+    total = good + bad
+    least, most = max(0, n - bad), min(n, good)
+    if least >= most:
+        return most
+    p = good / total
+    mean, spread = n * p, n * p * (1 - p) * (total - n) / max(1, total - 1)
+    width = 1.7155277699214135 * math.sqrt(spread + 0.5) + 0.8989161620588988  # 2 sqrt(2 / e), 3 - 2 sqrt(3 / e)
+    mode = min(most, max(least, (n + 1) * (good + 1) // (total + 2)))
+
+    def weight(k: int) -> float:
+        return -(math.lgamma(k + 1) + math.lgamma(good - k + 1) + math.lgamma(n - k + 1) + math.lgamma(bad - n + k + 1))
+
+    top = weight(mode)
+    while True:
+        u = 1.0 - rng.random()
+        k = math.floor(mean + 0.5 + width * (rng.random() - 0.5) / u)
+        if least <= k <= most and 2 * math.log(u) <= weight(k) - top:
+            return k
+
+
+def draw(quota: dict[str, int], shards: int, seed: int, first: int = 0, last: int | None = None) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(shard, uses before, uses) of shards first..last-1, by source in order of names: multinomial counts given that
+    each source meets its quota.  A range of shards is split in two until it is one shard; ranges that lie outside
+    are passed over, and any task finds the same counts for a shard."""
+    names, total = sorted(quota), sum(quota.values())
+    last = shards if last is None else last
+    todo = [(0, shards, [0] * len(names), [quota[s] for s in names])]
+    while todo:
+        low, high, used, counts = todo.pop()
+        if high <= first or low >= last:
+            continue
+        if high - low == 1:
+            yield low, used, counts
+            continue
+        middle = (low + high) // 2
+        left, rest = total * middle // shards - total * low // shards, sum(counts)
+        rng, part = random.Random(f"{seed} {low} {high}"), []
+        for n in counts:
+            rest -= n
+            part.append(hypergeometric(n, rest, left, rng))
+            left -= part[-1]
+        todo.append((middle, high, [a + b for a, b in zip(used, part, strict=True)], [a - b for a, b in zip(counts, part, strict=True)]))
+        todo.append((low, middle, used, part))
 
 
 def _key(*columns: Column) -> Column:
     return F.xxhash64(*columns)
 
 
-def mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, total_tokens: int | None = None, seed: int = 7, tokenizer: str = "byte_bpe_50k") -> DataFrame:
+def mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, total_tokens: int | None = None, seed: int = 7, tokenizer: str = "byte_bpe_50k", shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """(shard, slot, source, epoch, block, doc_id, tok_start, tok_end): the mixture, piece by piece.
 
     ``docs`` has doc_id, text, source; ``targets`` has source, target_share, max_repeats (one row per source,
@@ -95,17 +128,18 @@ def mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKEN
         raise ValueError("a mixture has at most 10,000 target sources")
     taking = docs.where(F.col("source").isin(*wanted)) if wanted else docs.where("false")
     counted = checkpoint(count_tokens(taking, ["doc_id", "source"], tokenizer=tokenizer).where("n_tokens > 0"))
-    bucket = F.pmod(_key(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int")
+    buckets = max(BUCKETS, counted.count() // BUCKET_RECORDS)
+    bucket = F.pmod(_key(F.lit(seed), "doc_id"), F.lit(buckets)).cast("int")
     sums = counted.groupBy("source", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("tokens"))
     tokens = {r["source"]: r["tokens"] for r in sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     quota = quotas(tokens, wanted, block_tokens, total_tokens)
     total = sum(quota.values())
-    shards = max(1, min(MAX_SHARDS, -(-total // SHARD_BLOCKS)))
+    shards = -(-total // shard_blocks)
 
     # Blocks: a record's place in its source is its bucket's base plus its place in the bucket.
     base = sums.select("source", "bucket", (F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket")) - F.col("tokens")).alias("base"))
     inside = Window.partitionBy("source", "bucket").orderBy(_key(F.lit(seed + 1), "doc_id"), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.withColumn("bucket", bucket).withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(base, ["source", "bucket"])
+    placed = counted.withColumn("bucket", bucket).withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(base.hint("merge"), ["source", "bucket"])
     start = F.col("base") + F.col("inside")
     pieces = (
         placed.select("source", "doc_id", "n_tokens", start.alias("at"))
@@ -113,24 +147,27 @@ def mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKEN
         .select("source", "block", "doc_id", F.greatest(F.col("block") * block_tokens - F.col("at"), F.lit(0)).cast("int").alias("tok_start"), F.least((F.col("block") + 1) * block_tokens - F.col("at"), F.col("n_tokens")).cast("int").alias("tok_end"))
     )
 
-    blocks = {s: -(-tokens[s] // block_tokens) for s in quota}
-    sizes = {k: total * (k + 1) // shards - total * k // shards for k in range(shards)}
-    plan = [(k, s, used, n, before, blocks[s], sizes[k]) for k, s, used, n, before in draw(quota, shards, seed) if n] if total else []
+    names = sorted(quota)
+    blocks = np.array([-(-tokens[s] // block_tokens) for s in names], np.int64)
+    marks = np.array([xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"), seed) >> 1 for s in names], np.int64)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = pa.array(names, pa.string())
         for batch in batches:
-            for row in batch.to_pylist():
-                use = np.arange(row["used"], row["used"] + row["n"], dtype=np.int64)
-                size = np.full(len(use), row["blocks"])
-                epoch = use // size
-                mark = int.from_bytes(row["source"].encode()[-6:], "big") * 31 + seed
-                block = permute(use % size, size, epoch * 7919 + mark)
-                place = np.arange(row["before"], row["before"] + row["n"])
-                slot = permute(place, np.full(len(use), row["slots"]), np.full(len(use), row["shard"] * 104729 + seed))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(use), row["shard"], np.int32)), pa.array(slot.astype(np.int32)), pa.array([row["source"]] * len(use), pa.string()), pa.array(epoch.astype(np.int32)), pa.array(block)], names=["shard", "slot", "source", "epoch", "block"])
-
-    drawn = spark.createDataFrame(plan, "shard int, source string, used long, n long, before long, blocks long, slots long").repartition(max(1, min(len(plan), total // 100_000, 4096)))
-    used = drawn.mapInArrow(slots, "shard int, slot int, source string, epoch int, block long")
+            ids = np.asarray(batch.column(0))
+            cuts = [0, *(np.flatnonzero(np.diff(ids) != 1) + 1).tolist(), len(ids)] if len(ids) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):  # runs of shards
+                for shard, used, counts in draw(quota, shards, seed, int(ids[a]), int(ids[b - 1]) + 1):
+                    which = np.repeat(np.arange(len(names)), counts)
+                    use = ragged(np.array(used, np.int64), np.array(counts, np.int64))
+                    size = blocks[which]
+                    epoch = use // size
+                    block = permute(use % size, size, marks[which] + epoch * 7919)
+                    slot = permute(np.arange(len(use)), np.full(len(use), len(use)), np.full(len(use), shard * 104729 + seed))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(use), shard, np.int64)), pa.array(slot.astype(np.int32)), labels.take(pa.array(which)), pa.array(epoch.astype(np.int32)), pa.array(block)], names=["shard", "slot", "source", "epoch", "block"])
+
+    drawn = spark.range(0, shards, 1, max(1, min(shards, total // 100_000, 4096)))
+    used = drawn.mapInArrow(slots, "shard long, slot int, source string, epoch int, block long")
     # Slots grow with the mixture, though Spark can't see it past mapInArrow: never broadcast them.
     return used.hint("merge").join(pieces.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "doc_id", "tok_start", "tok_end")
 
