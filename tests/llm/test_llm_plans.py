@@ -32,4 +32,4 @@ def test_growing_tables_are_not_broadcast(name, spark, data):
 
 def test_spans_shuffle_units_and_stretches_only(spark, data):
     text = plan(q.queries()["p8_found"](spark, data))
-    assert text.count("Exchange") == 2
+    assert text.count("Exchange") == 1 and "_text" not in text  # of stretches; units are shuffled before the checkpoint

@@ -53,8 +53,9 @@ def test_like_brute_force(spark, seed):
     docs = [(i, "".join(rng.choice(pieces) if rng.random() < 0.7 else "".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(rng.randrange(0, 9)))) for i in range(40)]
     docs += [(100, None), (101, ""), (102, "a" * 300), (103, "a" * 290), (104, docs[0][1]), (105, docs[0][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {tuple(r) for r in spans.shared_spans(df, span=40, gram=20).collect()}
-    assert got == brute(docs, 40)
+    want = brute(docs, 40)
+    for opened in (spans.OPENED, 2000, 0):  # buckets too large to be opened go on as rows of windows
+        assert {tuple(r) for r in spans.shared_spans(df, span=40, gram=20, opened=opened).collect()} == want
 
 
 def test_defined_cases(spark):
@@ -96,3 +97,16 @@ def test_long_texts_come_in_pieces(monkeypatch, spark):
     columns = [np.asarray(made.column(k)) for k in (0, 1, 2, 3, 4, 5, 7)]
     doc, start, end = spans._merge(*spans.compare(*columns, made.column(6), 40, 20))
     assert {tuple(map(int, x)) for x in zip(doc, start, end)} == want
+
+
+def test_lines_of_long_texts_and_hot_lines(spark):
+    """A text of very many lines, and a line that every record has, come out whole."""
+    hot, rng = "h" * 60, random.Random(2)
+    long = "\n".join(f"line {i} " + "x" * 50 for i in range(20_000))
+    docs = [(i, f"own {i} {rng.random()} {'y' * 50}\n{hot}\n") for i in range(3000)] + [(5000, long), (5001, "\n" + long), (5002, None), (None, hot)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = spans.repeated_lines(df, span=50)
+    assert got.where("doc_id < 5000").count() == 2999 and got.where("doc_id < 5000 and kept_id = 0 and end_pos - start_pos = 60").count() == 2999
+    far = got.where("doc_id = 5001").collect()
+    assert len(far) == 20_000 and all(r["kept_id"] == 5000 and r["kept_pos"] == r["start_pos"] - 1 for r in far)
+    assert spans.repeated_lines(df.where("false")).count() == 0

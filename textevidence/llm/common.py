@@ -62,3 +62,27 @@ def sample(df: DataFrame, rows: int, *columns: str) -> list[tuple]:
     """At most ``rows`` rows, those of least hash: the same whatever the order of rows and files."""
     keyed = df.select(*columns)
     return [tuple(r)[:-1] for r in keyed.withColumn("_order", F.xxhash64(*keyed.columns)).orderBy("_order", *keyed.columns).limit(rows).collect()]
+
+
+#: Parts into which the rows of a hot key are dealt; a key is hot if it has a thousandth of all rows, so at most a thousand are.
+SALTS, HOT = 64, 1000
+
+
+def hot_keys(counts: DataFrame, keys: list[str]) -> list[tuple]:
+    """Keys of ``counts`` (keys, n) that have at least one in HOT of all its rows: at most HOT of them."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [tuple(r) for r in counts.where(F.col("n") >= max(2, -(-total // HOT))).select(*keys).limit(HOT).collect()] if total >= HOT else []
+
+
+def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], hot: list[tuple]) -> DataFrame:
+    """Inner equi-join in which the rows of hot keys are dealt to SALTS tasks by their hash; ``other`` has one row a key."""
+    is_hot = F.lit(False) if not hot else F.struct(*keys).isin([F.struct(*(F.lit(x).alias(k) for k, x in zip(keys, h, strict=True))) for h in hot]) if len(keys) > 1 else F.col(keys[0]).isin([h[0] for h in hot])
+    salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = other.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.hint("merge").join(copies.hint("merge"), [*keys, "_salt"]).drop("_salt")
+
+
+def table_bytes(df: DataFrame, column: str) -> int:
+    """About how many bytes ``df`` has: the size of its files where the plan knows it, else the characters of ``column``."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else int(df.agg(F.sum(F.length(column))).first()[0] or 0)

@@ -7,7 +7,10 @@ is cut from the content: every window of ``span`` characters belongs to the smal
 equal anchors at equal offsets, so all of a window's copies meet in one group, and grouping misses nothing.
 Inside a group units are compared by digest; where a digest stands alone among others, its windows are
 compared one by one.  No pairs of records are formed; a group's cost is linear in its size, and each slice of
-texts sends equal units once, so a text that a third of all records repeat makes no hot group.
+texts sends equal units once, so a text that a third of all records repeat makes no hot group.  The number of
+buckets grows with the table, and a task opens one at a time; should a bucket be too large for that (an anchor that
+very many records have, each in another context), its windows go on as rows of digests, which Spark groups.
+Digests have 64 bits and are compared within one group only.
 """
 
 from __future__ import annotations
@@ -17,11 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ragged, slices
+from .common import checkpoint, hot_keys, ragged, slices, spread_join, table_bytes
 
 #: Least length of a shared span; characters of the gram whose hash anchors a window.
 SPAN, GRAM = 200, 100
@@ -32,6 +36,9 @@ PIECE, SLICE = 1_000_000, 3_000_000
 #: Bytes of units that a task gathers before it packs them by bucket; bytes of contexts that are compared at once.
 HELD, PORTION = 48_000_000, 4_000_000
 
+#: Bytes of the table for which there is a bucket; most partitions of buckets; bytes of units that a task opens at once.
+BUCKET_BYTES, MOST_PARTS, OPENED = 16_000_000, 20_000, 160_000_000
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
@@ -254,6 +261,32 @@ def compare(doc: np.ndarray, anchor: np.ndarray, at: np.ndarray, low: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def windows(doc: np.ndarray, anchor: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, page: np.ndarray, kind: np.ndarray, context: pa.Array, span: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_MATCHED`` for units that cannot be compared here: stretches known to be shared, and a digest of every window."""
+    settled = kind != LONE
+    yield _matched(doc[settled], (at + low)[settled].astype(np.int64), (at + high)[settled].astype(np.int64) + span)
+    rest = np.flatnonzero(kind != KNOWN)
+    if len(rest):
+        doc, anchor, at, low, high, page, kind = (x[rest] for x in (doc, anchor, at, low, high, page, kind))
+        rolling, begin, _ = unit_hashes(anchor, low, page, context.take(pa.array(rest)))
+        count = (high - low + 1).astype(np.int64)
+        who = np.repeat(np.arange(len(doc)), count)
+        offset = ragged(low.astype(np.int64), count)
+        start = begin[who] + offset - low[who]
+        key = _mix(rolling.of(start, start + span - gram) + _mix(offset.view(np.uint64)) * np.uint64(5))
+        yield _matched(doc[who], at[who] + offset, at[who] + offset + span, anchor[who], key.view(np.int64), (kind == COMMON)[who])
+
+
+#: Shared stretches (key null), and windows that are still to be grouped by (anchor, key); many: other records have it, too.
+_MATCHED = "doc_id long, start int, end int, anchor long, key long, many boolean"
+
+
+def _matched(doc: np.ndarray, start: np.ndarray, end: np.ndarray, anchor: np.ndarray | None = None, key: np.ndarray | None = None, many: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(doc)
+    rest = [pa.nulls(n, t) if x is None else pa.array(x) for x, t in ((anchor, pa.int64()), (key, pa.int64()), (many, pa.bool_()))]
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), *rest], names=["doc_id", "start", "end", "anchor", "key", "many"])
+
+
 def _portions(part: pa.RecordBatch, span: int) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
     """The pieces of a slice; a slice of one very long text comes in several portions."""
     ids, texts, bases = in_pieces(part.column(0).to_pylist(), part.column(1).to_pylist(), span)
@@ -288,8 +321,8 @@ def _open(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return columns, lens, np.frombuffer(raw, np.uint8, offset=at + 4 * n)
 
 
-def _stretches(blobs: list[bytes], span: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Shared stretches of a bucket's units, in portions of whole groups of about PORTION bytes of context."""
+def _opened(blobs: list[bytes]) -> Iterator[tuple[list[np.ndarray], pa.Array]]:
+    """The columns and contexts of packed units, in portions of whole groups of about PORTION bytes of context."""
     opened = [_open(b) for b in blobs]
     columns = [np.concatenate([c[k] for c, _, _ in opened]) for k in range(len(_COLUMNS))]
     lens = np.concatenate([x for _, x, _ in opened]).astype(np.int64)
@@ -305,7 +338,7 @@ def _stretches(blobs: list[bytes], span: int, gram: int) -> Iterator[tuple[np.nd
         if len(rows):
             offsets = np.concatenate(([0], np.cumsum(lens[rows]))).astype(np.int32)
             context = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data[ragged(begin[rows], lens[rows])])])
-            yield _merge(*compare(*[c[rows] for c in columns], context, span, gram))
+            yield [c[rows] for c in columns], context
 
 
 def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -322,7 +355,7 @@ def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[new], start[new], reach[last] - base[last]
 
 
-def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, opened: int = OPENED) -> DataFrame:
     """(doc_id, start_pos, end_pos): the maximal runs of characters that lie in ``span`` or more consecutive
     characters which the text of another id also has.
 
@@ -330,7 +363,9 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeat an id are one record: what only they have in common is not shared.
     """
 
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("_text"))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table_bytes(texts, "_text") // BUCKET_BYTES))
+    parts = min(buckets, MOST_PARTS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per bucket of anchors, for as many slices as HELD allows: the bucket's units, packed."""
@@ -339,13 +374,13 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def flush() -> pa.RecordBatch:
             made = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held.clear()
-            where = (_mix(np.asarray(made.column(1)).view(np.uint64)) % np.uint64(partitions)).astype(np.int32)
+            where = (_mix(np.asarray(made.column(1)).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(where, kind="stable")
             made, where = made.take(pa.array(order)), where[order]
             first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
             last = np.concatenate((first[1:], [len(where)]))
             blobs = [_shut(made.slice(a, b - a)) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(where[first]), pa.array(blobs, pa.binary())], names=["bucket", "units"])
+            return pa.RecordBatch.from_arrays([pa.array(where[first]), pa.array(where[first] % parts), pa.array(blobs, pa.binary())], names=["bucket", "part", "units"])
 
         for batch in batches:
             for part in slices(batch, "_text", SLICE):
@@ -358,28 +393,40 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
-        now = -1
+        now, size, large = -1, 0, False
 
         def run() -> Iterator[pa.RecordBatch]:
-            for doc, start, end in _stretches(held, span, gram):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "start", "end"])
+            for columns, context in _opened(held) if held else ():
+                if large:
+                    yield from windows(*columns, context, span, gram)
+                else:
+                    yield _matched(*_merge(*compare(*columns, context, span, gram)))
             held.clear()
 
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket != now and held:
+            for k in range(batch.num_rows):
+                bucket, blob = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
+                if bucket != now:
                     yield from run()
-                now = bucket
+                    now, size, large = bucket, 0, False
                 held.append(blob)
-        if held:
-            yield from run()
+                size += zstandard.frame_content_size(blob)
+                if large or size > opened:
+                    large = True
+                    yield from run()
+        yield from run()
 
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("_text"))
     texts = texts.where(F.length("_text") >= span).where("doc_id is not null")
-    rows = texts.select("doc_id", "_text").mapInArrow(cut, "bucket int, units binary")
-    # A bucket is a partition, by its own number: a digest of it would leave some tasks with twice the work.
-    dealt = rows.repartitionById(partitions, "bucket")
-    stretches = dealt.sortWithinPartitions("bucket").mapInArrow(match, "doc_id long, start int, end int")
+    rows = texts.select("doc_id", "_text").mapInArrow(cut, "bucket int, part int, units binary")
+    # A bucket's partition goes by its own number: a digest of it would leave some tasks with twice the work.
+    dealt = rows.repartitionById(parts, "part")
+    matched = checkpoint(dealt.sortWithinPartitions("bucket").mapInArrow(match, _MATCHED))
+    stretches = matched.where("key is null").select("doc_id", "start", "end")
+    left = matched.where("key is not null")
+    if not left.isEmpty():
+        counts = checkpoint(left.groupBy("anchor", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("many").alias("other")).where("other or a != b"))
+        again = spread_join(left.select("anchor", "key", "doc_id", "start", "end"), counts.select("anchor", "key"), ["anchor", "key"], hot_keys(counts, ["anchor", "key"]))
+        stretches = stretches.unionByName(again.select("doc_id", "start", "end"))
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = stretches.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -394,18 +441,34 @@ def shared_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = shared_spans(docs, id_col, text_col, span).groupBy(id_col).agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("shared_chars"))
     base = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias(id_col), F.coalesce(F.length(docs[text_col]), F.lit(0)).cast("long").alias("n_chars"))
     shared = F.least(F.coalesce("shared_chars", F.lit(0)), F.col("n_chars"))
-    return base.join(spans, id_col, "left").select(id_col, "n_chars", shared.alias("shared_chars"), F.coalesce(shared / F.nullif(F.col("n_chars"), F.lit(0)), F.lit(0.0)).alias("shared_part"))
+    return base.join(spans.hint("merge"), id_col, "left").select(id_col, "n_chars", shared.alias("shared_chars"), F.coalesce(shared / F.nullif(F.col("n_chars"), F.lit(0)), F.lit(0.0)).alias("shared_part"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """(doc_id, start_pos, end_pos, kept_id, kept_pos): lines of at least ``span`` characters that repeat a line
     of an earlier place, to be removed, with their offsets in the original text and the place that is kept.
 
-    Places rank by (id, position).  Lines are cut at ``\n``; null texts have none.
+    Places rank by (id, position).  Lines are cut at ``\n``; null texts and rows without an id have none.  A text
+    is read once, whatever its number of lines, and only digests of 128 bits and places are shuffled; the lines of a
+    digest that very many records have are dealt to many tasks.
     """
-    lines = docs.where(F.length(docs[text_col]) >= span).select(docs[id_col].alias("doc_id"), F.posexplode(F.split(docs[text_col], "\n")).alias("i", "line"), docs[text_col].alias("_text"))
-    at = F.aggregate(F.slice(F.split("_text", "\n"), 1, F.col("i")), F.lit(0), lambda n, x: n + F.length(x) + 1)
-    long = lines.where(F.length("line") >= span).select("doc_id", at.alias("start_pos"), F.length("line").alias("n"), F.xxhash64("line").alias("h"), F.substring(F.sha2("line", 256), 1, 16).alias("digest"))
-    first = long.groupBy("h", "digest").agg(F.min(F.struct("doc_id", "start_pos")).alias("kept"), F.count("*").alias("times")).where("times > 1")
-    out = long.join(first, ["h", "digest"]).where("doc_id > kept.doc_id or (doc_id = kept.doc_id and start_pos > kept.start_pos)")
-    return out.select(F.col("doc_id").alias(id_col), F.col("start_pos").cast("long").alias("start_pos"), (F.col("start_pos") + F.col("n")).cast("long").alias("end_pos"), F.col("kept.doc_id").alias("kept_id"), F.col("kept.start_pos").cast("long").alias("kept_pos"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                rows = []
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    at = 0
+                    for line in text.split("\n"):
+                        if len(line) >= span:
+                            d = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+                            rows.append((i, at, len(line), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+                        at += len(line) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["doc_id", "start_pos", "n", "high", "low"])
+
+    texts = docs.where((F.length(docs[text_col]) >= span) & docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"))
+    lines = checkpoint(texts.mapInArrow(digests, "doc_id long, start_pos long, n long, high long, low long"))
+    place = F.struct("doc_id", "start_pos")
+    first = checkpoint(lines.groupBy("high", "low").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1"))
+    out = spread_join(lines, first.select("high", "low", "kept"), ["high", "low"], hot_keys(first, ["high", "low"])).where(place > F.col("kept"))
+    return out.select(F.col("doc_id").alias(id_col), "start_pos", (F.col("start_pos") + F.col("n")).alias("end_pos"), F.col("kept.doc_id").alias("kept_id"), F.col("kept.start_pos").alias("kept_pos"))
