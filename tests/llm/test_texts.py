@@ -22,8 +22,13 @@ def samples(spark, data):
 
 
 @pytest.fixture(scope="module")
-def splitter(samples):
-    return sentences.Splitter(sentences.train([t for _, t in samples], []))
+def transcripts(spark, data):
+    return [r[0] for r in spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/corpus_events.parquet").where("transcript is not null").select("transcript").collect()]
+
+
+@pytest.fixture(scope="module")
+def splitter(samples, transcripts):
+    return sentences.Splitter(sentences.train([t for _, t in samples], [(t, False) for t in transcripts]))
 
 
 def units(splitter, text, wrapped=False):
@@ -73,13 +78,16 @@ def test_units_cover_the_text(text, wrapped):
     assert not any(text[a].isspace() or text[b - 1].isspace() for a, b in got)
 
 
+SHORT = -2.5
+
+
 def brute_posteriors(odds, near):
     import itertools
     import math
 
     total, sums = 0.0, [0.0] * len(odds)
     for events in itertools.product((0, 1), repeat=len(odds)):
-        w = math.exp(sum(o for o, e in zip(odds, events, strict=True) if e)) * math.prod(math.exp(sentences.SHORT_UNIT) for i in range(1, len(odds)) if near[i] and events[i] and events[i - 1])
+        w = math.exp(sum(o for o, e in zip(odds, events, strict=True) if e)) * math.prod(math.exp(SHORT) for i in range(1, len(odds)) if near[i] and events[i] and events[i - 1])
         total += w
         for i, e in enumerate(events):
             sums[i] += w * e
@@ -91,14 +99,60 @@ def test_forward_backward():
     for _ in range(30):
         n = rng.randrange(1, 7)
         odds, near = [rng.uniform(-3, 3) for _ in range(n)], [rng.random() < 0.5 for _ in range(n)]
-        assert sentences.forward_backward(odds, near) == pytest.approx(brute_posteriors(odds, near))
-
-
-def test_sentence_frame(spark, samples):
+        assert sentences.forward_backward(odds, near, SHORT) == pytest.approx(brute_posteriors(odds, near))
+
+
+def test_what_is_counted_decides():
+    """A word that never ends a line is an abbreviation, on no list; another mark ends units once lines end in it."""
+    texts = [("Der Rat traf Xyqz. Maler im Haus.", False), ("Gestern kam Xyqz. Weber ins Dorf.", False), ("Dann ging Xyqz. Bauer fort.", False)] * 10
+    texts += [(f"{a} {b}", False) for a in ("Der Rat schlief.", "Das Dorf schlief.") for b in ("Der Maler kam.", "Das Haus fiel.", "Der Weber schlief.")] * 10
+    texts += [(x, False) for x in ("Der Rat schlief.", "Das Haus fiel.", "Der Maler kam.", "Das Dorf schlief.")] * 20
+    own = sentences.Splitter(sentences.train([], texts))
+    assert units(own, "Das Dorf fiel. Der Rat sah Xyqz. Weber.") == ["Das Dorf fiel.", "Der Rat sah Xyqz. Weber."]
+
+
+def test_unpunctuated_text(transcripts, samples, splitter):
+    """Texts without their marks: a third of the boundaries are line breaks, the others have nothing but words."""
+    rng, ends = random.Random(2), "".join(c for c in sentences._ENDS)
+    known = []
+    for text in transcripts:
+        own = [u for x in units(splitter, text) if (u := x.strip().rstrip(ends + "\"'”’»)]"))]
+        if own and not any(sentences._DENSE.search(u) or sentences._THAI.search(u) for u in own):
+            known.append(own)
+    broken = [("".join(u + (("\n" if rng.random() < 0.4 else " ") if k + 1 < len(own) else "") for k, u in enumerate(own)), False) for own in known[::2]]
+    bare, right, found, true = sentences.Splitter(sentences.train([], broken)), 0, 0, 0
+    for own in known[1::2]:
+        text, at, want = " ".join(own), 0, set()
+        for u in own[:-1]:
+            at += len(u)
+            want.add(at)
+            at += 1
+        got = {b for _, b in bare.split(text, False)} - {len(text)}
+        right, found, true = right + len(got & want), found + len(got), true + len(want)
+    assert right / true > 0.9 and right / found > 0.95
+
+
+def test_fit_counts_every_text(spark, samples):
+    """The counts of all rows reach the model: with bounds of any size the sums by shape are the same, in any order."""
+    clean = spark.createDataFrame(samples, "lang string, text string")
+    rng, some = random.Random(3), [f"{a} {b} {c}." for a, b in (("Der", "Rat"), ("Das", "Dorf"), ("Der", "Weber"), ("Das", "Haus")) for c in ("kam", "schlief", "ging", "fiel")]
+    rows = [(i, "".join(rng.choice(some) + rng.choice(" \n") for _ in range(4)).strip() if i % 7 else None) for i in range(240)]
+    made = []
+    for n, order in ((1, rows), (3, rows[::-1])):
+        df = spark.createDataFrame(order, "id long, text string").repartition(n)
+        made.append(sentences.fit([(df, "text", False)], clean))
+    text = "Das Dorf kam. Der Rat ging. Das Haus fiel."
+    got = [sentences.Splitter(m).split(text, False) for m in made]
+    assert got[0] == got[1] and [text[a:b] for a, b in got[0]] == ["Das Dorf kam.", "Der Rat ging.", "Das Haus fiel."]
+    few = sentences.fit([(spark.createDataFrame(rows, "id long, text string"), "text", False)], clean, pairs=5, words=5)
+    assert abs(sum(few.start_case) - sum(made[0].start_case)) < 1e-6
+
+
+def test_sentence_frame(spark, samples, splitter):
     clean = spark.createDataFrame(samples, "lang string, text string")
-    df = spark.createDataFrame([(1, None, 5), (2, " ", 5), (3, "One. Two went.", 5), (3, "One. Two went.", 5)], "record_id long, text string, start_pos int")
-    rows = sentences.sentences(df, clean, "record_id", "text", False, "t").collect()
-    assert sorted((r["record_id"], r["start_pos"], r["end_pos"]) for r in rows) == sorted([(3, 0, 4), (3, 5, 14)] * 2)
+    df = spark.createDataFrame([(1, None, 5), (2, " ", 5), (3, "It rained. He slept.", 5), (3, "It rained. He slept.", 5)], "record_id long, text string, start_pos int")
+    rows = sentences.sentences(df, clean, "record_id", "text", False, "t", splitter.model).collect()
+    assert sorted((r["record_id"], r["start_pos"], r["end_pos"]) for r in rows) == sorted([(3, 0, 10), (3, 11, 20)] * 2)
 
 
 # Languages.

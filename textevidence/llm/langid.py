@@ -22,7 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, sample, slices
 from .lookfold import quick_fold
-from .sentences import ABBREVIATIONS
+
+#: Words after which a full stop seldom ends a rough piece of text.
+ABBREVIATIONS = """dr mr mrs ms prof st vol pp p no nos fig figs sec cf approx etc vs jan feb mar apr jun jul aug sep sept oct nov dec co ltd inc corp ver
+vill engr p.o e.g i.e a.m p.m u.s u.k ph.d gen col capt lt rev hon jr sr dept est ave blvd rd ed eds al ca z b d h nr str usw bzw ges m hr fr evtl inkl
+mme mlle env av bd tél sra srta dra aprox núm pág tel md mst sm adv ড ডা অধ্যা লি মি মো মোঃ নং প্রফে ইঞ্জি एड डॉ श्री प्रो पं ต ร ศ อ จ ดร นาย د أ م"""
 
 LANGUAGES = ["en", "bn", "banglish", "fr", "de", "es", "hi", "zh", "ja", "th", "ar"]
 
