@@ -325,6 +325,34 @@ def test_planted_noise_is_undone(reader):
     assert kept == min(300, len(words)) and right / total > 0.9
 
 
+def test_losses_and_gains():
+    """Scans that lose and double characters teach the editor to undo just that; all from what they show."""
+    words = "kitchen window garden station harbour railway meadow village bridge canal market printer surveyor engineer lantern basket timber barley workshop warehouse".split()
+    vocabulary = {w: 400 for w in words} | {f"zq{a}{b}x{c}": 1 for a in "bdfg" for b in "aeiou" for c in "klmnp"}
+    unknown = {w[:i] + w[i + 1 :]: 6 for w in words for i in range(1, len(w) - 1)} | {w[:i] + w[i] + w[i:]: 6 for w in words for i in range(1, len(w) - 1)}
+    editor = scan.train_editor(vocabulary, unknown)
+    assert any(not x for x in editor.confusions) and any("" in ys for ys in editor.confusions.values())
+    assert [editor.fix(w) for w in ("kitchn", "windw", "kittchen", "winddow", "kitchen", "zqraxt")] == ["kitchen", "window", "kitchen", "window", None, None]
+    noisy = [(n, w) for w in words for i in range(1, len(w) - 1) for n in (w[:i] + w[i + 1 :], w[:i] + w[i] + w[i:]) if n not in vocabulary]
+    assert sum(editor.fix(n) == w for n, w in noisy) / len(noisy) > 0.95
+
+
+def test_the_model_decides(reader):
+    """A weight on keeping is obeyed, and without its weights the editor knows no right word from a wrong one."""
+    editor, rng = reader.editor, random.Random(6)
+    back = [(y, x) for x, ys in editor.confusions.items() for y in ys if y]
+    words = sorted(w for w, n in editor.vocabulary.items() if n >= 8 and len(w) > 4 and w.isalpha())
+    noisy = [(w.replace(y, x, 1), w) for w in rng.sample(words, 150) for y, x in [rng.choice(back)] if y in w]
+    noisy = [(n, w) for n, w in noisy if n not in editor.vocabulary]
+    learned = sum(editor.fix(n) == w for n, w in noisy) / len(noisy)
+    model = scan.Perceptron()
+    model.weights = dict(editor.model.weights) | {"=|": 1e6}
+    assert all(scan.Editor(editor.vocabulary, editor.confusions, model).fix(n) is None for n, _ in noisy)
+    model.weights = {}
+    blind = scan.Editor(editor.vocabulary, editor.confusions, model)
+    assert learned > 0.9 and sum(blind.fix(n) == w for n, w in noisy) / len(noisy) < learned - 0.2
+
+
 def test_joins(reader):
     assert reader.editor.join("disco", "vered") == "discovered"
     assert reader.editor.join("well", "known") is None

@@ -1,10 +1,11 @@
 """Noise in text from scanned pages (problem 1).
 
-An averaged perceptron edits characters: at each place of a word it predicts keep, replace, delete or insert (as
-a replacement of one or two characters by one or two), and at a line's end whether a hyphen joins the line with
-the next.  It is trained on words of clean pages with the confusions that the scans themselves show: scanned
-words that turn into frequent clean ones by one small change.  Edits of a word are checked against the
-vocabulary.  A second perceptron sees the place of a line on its page, what stands around it and its words, and
+An averaged perceptron edits characters: at each place of a word it scores keep, replace (one or two characters by
+one or two), delete and insert, and at a line's end whether a hyphen joins the line with the next.  A word's edits
+and what they make of it (a word of the vocabulary, how frequent, or none) are scored together, and so is leaving it
+alone; the best wins.  It is trained on words of clean pages with the confusions, losses and gains that the scans
+themselves show: scanned words that turn into frequent clean ones by one small change.  Rare words, taken out of the
+vocabulary for the moment, teach it to leave alone what it does not know.  A second perceptron sees the place of a line on its page, what stands around it and its words, and
 finds running headers, page numbers and stamps; headers that repeat within a file teach it.
 
 Word counts cover all pages and are made in Spark; what reaches the driver is bounded (``MOST_WORDS``,
@@ -14,6 +15,7 @@ repeated headers and by (file, page) for words that go on overleaf.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import unicodedata
@@ -36,12 +38,16 @@ SHARE = 1e-4
 #: Below this score not even a repeated line is furniture: a chapter's heading may stand on several pages.
 CONTENT = -150.0
 
+#: A word that scans have so often is not taken for a misread form of a word that clean pages lack.
+OFTEN = 8
+
+#: Words that the vocabulary is made to lack for each noisy one; weight of a loss or gain of any character against that
+#: of a usual confusion; least lead, in training, of leaving an unknown word alone.
+UNKNOWN, STRAY, MARGIN = 1.2, 0.01, 6.0
+
 #: Share of a file's pages that a running header heads.
 REPEATED = 0.5
 
-#: Least lead of an edit over keeping, for a word that no edit turns into a known one.
-LEAD = 60.0
-
 _PUNCT = ".,;:!?।॥“”\"'()[]{}«»„‘’‹›¿¡。、！？，；：「」『』—–|<>؟،؛…*"
 _HYPHEN = re.compile(r"(\S*?[^\W\d_])[-‐¬\u00ad][ \t]*$")
 _BROKEN = re.compile(r"[-‐¬\u00ad][ \t]*\n\s*\S+")
@@ -104,6 +110,15 @@ class Perceptron:
                     self.weights[key] += step
         return best == right
 
+    def move(self, good: list[str], bad: list[str]) -> None:
+        """One step towards the features of the right answer and away from those of the one that was given."""
+        self._t += 1
+        for keys, step in ((good, 1.0), (bad, -1.0)):
+            for key in keys:
+                self._total[key] += (self._t - self._stamp[key]) * self.weights[key]
+                self._stamp[key] = self._t
+                self.weights[key] += step
+
     def average(self) -> Perceptron:
         out = {}
         for key, w in self.weights.items():
@@ -122,26 +137,107 @@ def place_features(word: str, i: int, n: int) -> list[str]:
     return ["", a, f">{b}", f"{w[i - 2]}{a}<", f">{b}{w[i + n + 1] if i + n + 1 < len(w) else '$'}", f"{a}_{b}", f"{w[i - 2]}{a}_{b}", "d" if any(c.isdigit() for c in word) else "l"]
 
 
+#: An edit: place, characters that go, characters that come.
+Edit = tuple[int, int, str]
+
+
+def edited(word: str, edits: tuple[Edit, ...]) -> str:
+    """``word`` after ``edits``, each of which counts places in what the ones before have made."""
+    for i, n, y in edits:
+        word = word[:i] + y + word[i + n :]
+    return word
+
+
 class Editor:
-    """Corrects words: perceptron-scored edits, checked against the vocabulary."""
+    """Corrects words: a perceptron scores keeping and every edit, and what comes of it."""
 
-    def __init__(self, vocabulary: dict[str, int], confusions: dict[str, list[str]], model: Perceptron):
+    def __init__(self, vocabulary: dict[str, int], confusions: dict[str, list[str]], model: Perceptron, unknown: dict[str, int] | None = None):
+        """``unknown``: how often scans have words that the vocabulary lacks."""
         self.vocabulary, self.confusions, self.model = vocabulary, confusions, model
+        self.often = {w for w, n in (unknown or {}).items() if n >= OFTEN}
         self.memo: dict[str, str | None] = {}
         self.plain: dict[str, str] = {}
         for w in sorted(vocabulary, key=vocabulary.__getitem__):
             if not w.isascii() and (p := unaccented(w)) != w:
                 self.plain[p] = w
-
-    def edits(self, word: str) -> Iterator[tuple[str, float]]:
-        for i in range(len(word)):
-            for n in (1, 2):
-                x = word[i : i + n]
-                if len(x) == n and x in self.confusions:
-                    features = place_features(word, i, n)
-                    keep = self.model.score("=", features)
-                    for y in self.confusions[x]:
-                        yield word[:i] + y + word[i + n :], self.model.score(f"{x}>{y}", features) - keep
+        self.total, self.longest = max(1, sum(vocabulary.values())), max(map(len, vocabulary), default=0)
+        self.letters: dict[int, list[str]] = defaultdict(list)  # by block of code points
+        for c in sorted({c for w in vocabulary for c in w if not c.isdigit()}):
+            self.letters[ord(c) >> 7].append(c)
+        self.letters = dict(self.letters)
+
+    def known(self, word: str, without: str | None = None) -> str | None:
+        """The word of the vocabulary that ``word`` is, with the accents that scans lose."""
+        if word in self.vocabulary and word != without:
+            return word
+        full = self.plain.get(word) or (self.plain.get(unaccented(word)) if not word.isascii() else None)
+        return full if full != without else None
+
+    def single(self, word: str) -> list[Edit]:
+        """Edits of one place that scans call for."""
+        return [(i, n, y) for i in range(len(word) + 1) for n in (0, 1, 2) if len(x := word[i : i + n]) == n for y in self.confusions.get(x, ())]
+
+    def nearby(self, word: str, without: str | None = None) -> list[Edit]:
+        """A character lost or gained, whichever it is, if that makes a word of the vocabulary."""
+        if len(word) > self.longest + 1:
+            return []
+        v = self.vocabulary
+        out = [(i, 1, "") for i in range(len(word)) if not word[i].isdigit() and (w := word[:i] + word[i + 1 :]) in v and w != without]
+        letters = [c for block in sorted({ord(c) >> 7 for c in word}) for c in self.letters.get(block, ())]
+        return out + [(i, 0, c) for i in range(len(word) + 1) for c in letters if (w := word[:i] + c + word[i:]) in v and w != without]
+
+    def features(self, word: str, edits: tuple[Edit, ...], result: str, found: bool) -> list[str]:
+        """What the model sees of edits: their places, and what becomes of the word."""
+        out, at = [], word
+        kind = "keep"
+        for i, n, y in edits:
+            x, place = at[i : i + n], place_features(at, i, n)
+            kind = "del" if not y else "ins" if not n else "one" if n == len(y) == 1 else "more"
+            out += [f"{x}>{y}|{f}" for f in place]
+            out += [f"{kind}|{place[0]}", f"{kind}|{place[-1]}"]
+            at = at[:i] + y + at[i + n :]
+        count = self.vocabulary.get(result, 0)
+        often = min(9, int(math.log2(1 + 1e6 * count / self.total))) if found else -1
+        size, digits, left = min(9, len(word)), *(min(2, sum(c.isdigit() for c in x)) for x in (word, result))
+        what = f"{kind if len(edits) < 2 else 'two'}|{found}"
+        return [*out, f"{what}|{often}", f"{what}|{size}", f"{what}|{digits}>{left}|{word[:1].isalpha()}", f"edits{len(edits)}"]
+
+    def parts(self, word: str, result: str, edits: tuple[Edit, ...], found: bool) -> tuple[list[str], list[str]]:
+        """Features of edits, and those of keeping what they change."""
+        kept, at = [], word
+        for i, n, y in edits:
+            kept += [f"=|{f}" for f in place_features(at, i, n)]
+            at = at[:i] + y + at[i + n :]
+        return self.features(word, edits, result, found), kept
+
+    def score(self, word: str, edits: tuple[Edit, ...], result: str, found: bool) -> float:
+        get = self.model.weights.get
+        own, kept = self.parts(word, result, edits, found)
+        return sum(get(f, 0.0) for f in own) - sum(get(f, 0.0) for f in kept)
+
+    def answers(self, word: str, without: str | None = None) -> list[tuple[float, str, tuple[Edit, ...], bool]]:
+        """(score, result, edits, whether it is known) of keeping ``word`` and of all edits that come into question."""
+        out = [(self.score(word, (), word, False), word, (), False)]
+        single = self.single(word)
+        some: dict[tuple[Edit, ...], None] = dict.fromkeys((e,) for e in single)
+        some |= dict.fromkeys((e,) for e in self.nearby(word, without))
+        any_known, often = False, word in self.often
+        for edits in some:
+            result = edited(word, edits)
+            full = self.known(result, without)
+            if often and full is None and word.isalpha():
+                continue  # a misread form of a word that clean pages lack is rare
+            any_known = any_known or full is not None
+            out.append((self.score(word, edits, full or result, full is not None), full or result, edits, full is not None))
+        if not any_known and 4 < len(word) <= self.longest + 2:
+            seen = set()
+            for e in single:
+                half = edited(word, (e,))
+                for f in self.single(half):
+                    if f[0] >= e[0] and (result := edited(half, (f,))) != word and result not in seen and (full := self.known(result, without)) is not None:
+                        seen.add(result)
+                        out.append((self.score(word, (e, f), full, True), full, (e, f), True))
+        return out
 
     def fix(self, word: str) -> str | None:
         """The right word if ``word`` is misread, else None."""
@@ -154,31 +250,15 @@ class Editor:
 
     def _fix(self, word: str) -> str | None:
         v = self.vocabulary
-        if word in v or len(word) < 3 or len(word) == 3 and word.isalpha() and word.isascii() or len(word) > 40 or _ODD.search(word):
+        if word in v or len(word) < 3 or len(word) == 3 and word.isalpha() and word.isascii() or _ODD.search(word):
             return None
-        first = list(self.edits(word))
-        known = [(score + min(3.0, v[w] ** 0.25), w) for w, score in first if w in v]
-        if known:
-            return max(known)[1]
-        known = [(score, self.plain[p]) for w, score in first if (p := unaccented(w)) in self.plain and p not in v]
-        if known:
-            return max(known)[1]
-        if len(word) > 4:
-            second = [(score + other + min(3.0, v[w] ** 0.25), w) for a, score in first for w, other in self.edits(a) if w in v and w != word]
-            if second:
-                return max(second)[1]
+        best = max(self.answers(word), key=lambda x: (x[0], x[1]))
+        if best[2]:
+            return best[1] if best[1] != word else None
         if "-" in word and len(parts := word.split("-")) == 2 and all(len(p) > 2 for p in parts):
             fixed = [p if p in v else self.fix(p) for p in parts]
             if all(fixed) and fixed != parts:
                 return "-".join(fixed)
-        # An unknown word, such as a name: only what no word has is changed, a digit among letters, or what the model is sure of.
-        if first:
-            lead, best = max((score, w) for w, score in first)
-            digits = sum(c.isdigit() for c in word)
-            if digits == 1 and word[0].isalpha() and sum(c.isdigit() for c in best) == 0 and sum(c.isalpha() for c in word) > 3:
-                return best
-            if digits == 0 and lead > LEAD and word.isalpha():
-                return best
         return None
 
     def join(self, a: str, b: str) -> str | None:
@@ -202,15 +282,16 @@ def join_features(a: str, b: str, v: dict[str, int]) -> list[str]:
     return ["", f"a{a in v}", f"b{b in v}", f"w{a + b in v}", f"h{f'{a}-{b}' in v}", f"ab{a in v}{b in v}", "caps" if not a.isascii() else "ascii"]
 
 
-def learn_confusions(vocabulary: dict[str, int], unknown: dict[str, int], least: int = 4) -> dict[str, list[str]]:
-    """Replacements x -> y (one or two characters each) that turn unknown scanned words into frequent clean ones."""
+def learn_confusions(vocabulary: dict[str, int], unknown: dict[str, int], least: int = 4) -> tuple[dict[str, list[str]], dict[tuple[str, str], float]]:
+    """Replacements x -> y (at most two characters each; none for a loss or a gain) that turn unknown scanned words
+    into frequent clean ones, and how often each is seen."""
     # Only words that are a share of all words: names that differ by chance are rare.
     frequent = max(3.0, sum(vocabulary.values()) * SHARE)
     common = {w for w, n in vocabulary.items() if n >= frequent and len(w) >= 4}
     index: dict[tuple[str, str], list[str]] = defaultdict(list)
     for w in common:
-        for i in range(len(w)):
-            for n in (1, 2):
+        for i in range(len(w) + 1):
+            for n in (0, 1, 2):
                 if i + n <= len(w):
                     index[w[:i], w[i + n :]].append(w)
     seen: dict[tuple[str, str], set[str]] = defaultdict(set)
@@ -219,17 +300,15 @@ def learn_confusions(vocabulary: dict[str, int], unknown: dict[str, int], least:
         if len(w) < 4:
             continue
         pairs = set()
-        for i in range(len(w)):
-            for n in (1, 2):
+        for i in range(len(w) + 1):
+            for n in (0, 1, 2):
                 if i + n > len(w):
                     continue
                 for v in index.get((w[:i], w[i + n :]), ()):
                     if count * 4 > vocabulary[v]:
                         continue
                     y, x = v[i : len(v) - (len(w) - i - n)], w[i : i + n]
-                    if (n == 1 or len(y) != 2) and x != y and not (len(x) == len(y) == 2):
-                        if n == 2 and len(y) == 1 and y in x or n == 1 and len(y) == 2 and x in y:
-                            continue  # a mere loss or gain of a character
+                    if x != y and len(x) + len(y) < 4 and (not x or not y) == (abs(len(x) - len(y)) == 1 and (x in y or y in x)):
                         pairs.add((x, y))
         if 0 < len(pairs) <= 3:
             for pair in pairs:
@@ -237,45 +316,69 @@ def learn_confusions(vocabulary: dict[str, int], unknown: dict[str, int], least:
                 weight[pair] += count / len(pairs)
     total = sum(weight.values())
     out: dict[str, list[str]] = defaultdict(list)
-    for (x, y), n in weight.most_common(400):
+    rates = {}
+    for (x, y), n in sorted(weight.items(), key=lambda p: (-p[1], p[0])):
         # true confusions show up in many words; chance neighbours in a few
         if len(seen[x, y]) >= least and n >= max(least, total * 2e-4):
             out[x].append(y)
-    return dict(out)
+            rates[x, y] = n
+    return dict(out), rates
 
 
-def train_editor(vocabulary: dict[str, int], unknown: dict[str, int], rounds: int = 3, most: int = 5_000, seed: int = 1) -> Editor:
-    """Train on clean words with planted confusions (and clean ones to keep), and on hyphens planted and own."""
-    confusions = learn_confusions(vocabulary, unknown)
-    back: dict[str, list[str]] = defaultdict(list)
-    for x, ys in confusions.items():
-        for y in ys:
-            back[y].append(x)
+def train_editor(vocabulary: dict[str, int], unknown: dict[str, int], rounds: int = 3, most: int = 1_200, seed: int = 1) -> Editor:
+    """Train on clean words with planted confusions, losses and gains, on rare words that are taken out of the
+    vocabulary, as they stand and with confusions, and on hyphens planted and own."""
+    confusions, rates = learn_confusions(vocabulary, unknown)
     rng, model = random.Random(seed), Perceptron()
-    pool = sorted(w for w in vocabulary if len(w) > 3 and not any(c.isdigit() for c in w))
-    rng.shuffle(pool)
-    pool = pool[:most]
+    editor = Editor(vocabulary, confusions, model, unknown)
+    words = sorted(w for w in vocabulary if len(w) > 3)
+    middle = sorted(map(vocabulary.__getitem__, words))[len(words) // 2] if words else 0
+    rare = [w for w in words if vocabulary[w] <= middle]
+    usual = [w for w in words if not any(c.isdigit() for c in w)]
+    by_right: dict[str, list[tuple[str, float]]] = defaultdict(list)
+    for (x, y), n in rates.items():
+        by_right[y].append((x, math.sqrt(n)))
+    slips = STRAY * sum(r for some in by_right.values() for _, r in some) / max(1, len(by_right))
+
+    def noise(word: str) -> str:
+        """The word with one change: mostly a confusion of the scans, sometimes a loss or gain of any character."""
+        spots = [(i, n, x, r) for i in range(len(word) + 1) for n in (0, 1, 2) if len(y := word[i : i + n]) == n for x, r in by_right.get(y, ())]
+        spots += [(i, 1, "", slips) for i in range(len(word))] + [(i, 0, word[i - 1], slips) for i in range(1, len(word))]
+        i, n, x, _ = rng.choices(spots, [r + 1e-9 for *_, r in spots])[0]
+        return word[:i] + x + word[i + n :]
+
+    examples: list[tuple[str, str, str | None]] = []  # as read, as it is, word that the vocabulary is to lack
+    if words:
+        for word in rng.choices(usual, [vocabulary[w] ** 0.5 for w in usual], k=most) if usual else ():
+            examples.append((noise(word), word, None))
+        for x, y in rates:  # every confusion, however seldom a word gives occasion to it
+            having = [w for w in usual if y in w]
+            for word in rng.choices(having, [vocabulary[w] ** 0.5 for w in having], k=max(8, most // (2 * len(rates)))) if having and y else ():
+                i = rng.choice([i for i in range(len(word)) if word.startswith(y, i)])
+                examples.append((word[:i] + x + word[i + len(y) :], word, None))
+        for word in rng.choices(rare, k=int(most * UNKNOWN)):
+            examples += [(word, word, word), (noise(word), word, word)] if rng.random() < 0.25 else [(word, word, word)]
     for _ in range(rounds):
-        for word in pool:
-            spots = [(i, n, x) for i in range(len(word)) for n in (1, 2) if word[i : i + n] in back and len(word[i : i + n]) == n for x in back[word[i : i + n]]]
-            noisy, at, y = word, -1, ""
-            if spots and rng.random() < 0.5:
-                i, n, x = rng.choice(spots)
-                noisy, at, y = word[:i] + x + word[i + n :], i, word[i : i + n]
-            for i in range(len(noisy)):
-                for n in (1, 2):
-                    x = noisy[i : i + n]
-                    if len(x) == n and x in confusions and (i == at and x + ">" + y in {f"{x}>{z}" for z in confusions[x]} or abs(i - at) > 2 or at < 0):
-                        right = f"{x}>{y}" if i == at and y in confusions[x] else "="
-                        model.learn(right, place_features(noisy, i, n), ["=", *(f"{x}>{z}" for z in confusions[x])])
-        for word in pool[: most // 4]:
+        rng.shuffle(examples)
+        for noisy, word, without in examples:
+            if noisy in vocabulary and noisy != without or len(noisy) < 3 or _ODD.search(noisy):
+                continue
+            answers = editor.answers(noisy, without)
+            # what is to be left alone must lead by a margin
+            best = max(answers, key=lambda a: (a[0] + (MARGIN if a[2] and noisy == word else 0.0), a[1]))
+            right = [a for a in answers if a[1] == word] if best[1] != word else []
+            if right:
+                good, bad = (editor.parts(noisy, *a[1:]) for a in (max(right, key=lambda a: a[0]), best))
+                model.move(good[0] + bad[1], bad[0] + good[1])
+        for word in usual[: most // 4]:
             if "-" in word.strip("-"):
                 a, _, b = word.partition("-")
                 model.learn("own", join_features(a, b, vocabulary), ["join", "own"])
             elif len(word) > 5:
                 k = rng.randrange(3, len(word) - 2)
                 model.learn("join", join_features(word[:k], word[k:], vocabulary), ["join", "own"])
-    return Editor(vocabulary, confusions, model.average())
+    model.average()
+    return editor
 
 
 # Furniture.
@@ -648,7 +751,8 @@ def fit(pages: DataFrame, most_words: int = MOST_WORDS, most_unknown: int = MOST
     scans = pages.where("text is not null and coalesce(engine, '') != 'pdfjs-dist' and file_id is not null")
     n = scans.count()
     share = max(1, n // max(1, train_pages))
-    sample = scans.where(F.pmod(F.xxhash64("file_id"), F.lit(share)) == 0).select("file_id", "page", "text").limit(2 * train_pages).collect()
+    order = F.xxhash64("file_id"), "file_id", "page", "text"  # whole files, the same whatever the order of rows
+    sample = scans.where(F.pmod(F.xxhash64("file_id"), F.lit(share)) == 0).select("file_id", "page", "text").orderBy(*order).limit(2 * train_pages).collect()
     known = {w: 1 for w, c in vocabulary.items() if c >= 5} | {w: 1 for w, c in unknown.items() if c >= max(8, n // 1000)}
     return Reader(train_editor(vocabulary, unknown), train_furniture([tuple(r) for r in sample], known))
 
