@@ -220,6 +220,12 @@ def test_look_pairs(spark):
     assert texts[4] == texts[2] == "Hello there" and texts[5] is None
 
 
+def test_a_look_of_very_many(spark):
+    rows = [(i, "pаrk" if i % 2 else "park") for i in range(2000)] + [(5000 + i, f"own {i}") for i in range(3000)]
+    got = lookalike.found([("t", spark.createDataFrame(rows, "id long, text string"), "id", "text")])
+    assert got.count() == 1999 and got.where("id_a > 1").count() == 0
+
+
 # Personal data.
 
 

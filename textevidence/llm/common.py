@@ -75,7 +75,7 @@ def hot_keys(counts: DataFrame, keys: list[str]) -> list[tuple]:
 
 
 def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], hot: list[tuple]) -> DataFrame:
-    """Inner equi-join in which the rows of hot keys are dealt to SALTS tasks by their hash; ``other`` has one row a key."""
+    """Inner equi-join in which the rows of hot keys are dealt to SALTS tasks by their hash; ``other`` has few rows a key."""
     is_hot = F.lit(False) if not hot else F.struct(*keys).isin([F.struct(*(F.lit(x).alias(k) for k, x in zip(keys, h, strict=True))) for h in hot]) if len(keys) > 1 else F.col(keys[0]).isin([h[0] for h in hot])
     salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0))
     copies = other.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices
+from .common import checkpoint, hot_keys, slices, spread_join
 from .lookfold import INVISIBLE, LATIN_LOOK, WIDE
 
 #: Words and letters the trie holds at most: bounds of what is broadcast.
@@ -274,8 +274,10 @@ def found(sources: list[tuple[str, DataFrame, str, str]], words: list | None = N
         rows = digests(df, words, id_col, text_col, name)
         every = rows if every is None else every.unionByName(rows)
     every = checkpoint(every)
-    several = every.groupBy("record_table", "look").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a != b").select("record_table", "look")
-    rows = every.join(several.hint("merge"), ["record_table", "look"])  # they grow with the corpus: never broadcast
-    first = rows.groupBy("record_table", "look", "spelling").agg(F.min("record_id").alias("other")).withColumnRenamed("spelling", "other_spelling")
-    pairs = rows.join(first.hint("merge"), ["record_table", "look"]).where("spelling != other_spelling and record_id != other")
+    look = ["record_table", "look"]
+    several = checkpoint(every.groupBy(look).agg(F.count("*").alias("n"), F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a != b").select(*look, "n"))
+    hot = hot_keys(several, look)  # a look that very many records share is dealt to many tasks
+    rows = spread_join(every, several.select(look), look, hot)
+    first = rows.groupBy(*look, "spelling").agg(F.min("record_id").alias("other")).withColumnRenamed("spelling", "other_spelling")
+    pairs = spread_join(rows, first, look, hot).where("spelling != other_spelling and record_id != other")
     return pairs.select("record_table", F.least("record_id", "other").alias("id_a"), F.greatest("record_id", "other").alias("id_b")).distinct()

@@ -495,7 +495,7 @@ class Furniture:
         out: set[int] = set()
 
         def frame(order: list[Line], top: bool) -> None:
-            for k, line in enumerate(order[:4]):
+            for line in order:
                 if line.no in out:
                     continue
                 plain = _PLAIN.match(quick_fold(line.text)) is not None
@@ -516,7 +516,7 @@ class Furniture:
 
     def of_file(self, lines: list[Line]) -> set[int]:
         """Line numbers of the furniture in a text of several pages joined by blank lines."""
-        counts = Counter(x.key for x in lines if x.above and len(x.text) < 90 and not x.text.rstrip().endswith((".", "।", "!", "?", ",", "-")) and len(x.key) > 5)
+        counts = Counter(x.key for x in lines if x.above and not x.text.rstrip().endswith((".", "।", "!", "?", ",", "-")) and len(x.key) > 5)
         most = max(counts.values(), default=0)
         repeated = [k for k, n in counts.items() if n > 1 and n >= REPEATED * most]
         out: set[int] = set()
@@ -529,8 +529,6 @@ class Furniture:
             return scores[k]
 
         for k, x in enumerate(lines):
-            if len(x.text) > 110:
-                continue
             if x.number is not None:
                 plain = _PLAIN.match(quick_fold(x.text)) is not None
                 # a bare number counts on with the pages and stands at a page's edge
@@ -538,7 +536,7 @@ class Furniture:
                 if edge and (not plain or x.number < 400 and (last == 0 or 0 < x.number - last <= 3)):
                     out.add(x.no)
                     last = x.number
-            elif len(x.text) < 90 and x.above and any(same_key(x.key, r) for r in repeated) and likely(k) > CONTENT:
+            elif x.above and any(same_key(x.key, r) for r in repeated) and likely(k) > CONTENT:
                 out.add(x.no)
             elif (x.above or x.below or k and lines[k - 1].no in out) and likely(k) > 0:
                 out.add(x.no)
@@ -784,6 +782,25 @@ def _found(name: str, rows: list[tuple[int, int, str, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(nos, pa.int64()), pa.array(kinds, pa.string()), pa.array(items, pa.string())], names=["record_table", "record_id", "line_no", "kind", "item"])
 
 
+def edges(furniture: Furniture, lines: list[str], at: list[int]) -> tuple[list[int], list[int]]:
+    """The lines at the top and at the bottom of a page that may be furniture, each with the first that cannot: it has
+    no page number, and not even repeated would it be a header.  ``at``: places of the lines that are not blank."""
+
+    def run(order: list[int]) -> list[int]:
+        out = []
+        for k in order:
+            out.append(k)
+            i = at[k]
+            line = Line(i + 1, lines[i], k, len(at) - 1 - k, k == 0 or at[k - 1] != i - 1, k + 1 == len(at) or at[k + 1] != i + 1)
+            if line.number is None and furniture.likely(line) <= CONTENT:
+                break
+        return out
+
+    top = run(list(range(len(at))))
+    bottom = run([k for k in range(len(at) - 1, -1, -1) if k >= len(top)])[::-1]
+    return [at[k] for k in top], [at[k] for k in bottom]
+
+
 def found_texts(df: DataFrame, shared, id_col: str, text_col: str, record_table: str, joined_pages: bool) -> DataFrame:
     """Findings in records that stand alone; ``joined_pages``: a text holds the pages of a file, one after another."""
 
@@ -803,7 +820,7 @@ def found_texts(df: DataFrame, shared, id_col: str, text_col: str, record_table:
 def settled_pages(pages: DataFrame, shared) -> DataFrame:
     """A short row for each scanned page of files (page_id, file_id, page, text): its furniture and findings, the open
     word with which it ends, and its first word, should that go on with one of the page before."""
-    tops = F.filter(F.transform(F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0), 1, 2), lambda x: x), lambda x: F.length(x) < 120)
+    tops = F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0), 1, 2)
     scans = pages.where("text is not null and text != '' and page_id is not null and coalesce(engine, '') != 'pdfjs-dist'")
 
     def keys(_: Reader, part: pa.RecordBatch) -> pa.RecordBatch:
@@ -817,7 +834,7 @@ def settled_pages(pages: DataFrame, shared) -> DataFrame:
     heads = _mapped(scans.where("file_id is not null").select(F.col("file_id").cast("long"), tops.alias("tops")), shared, keys, "file_id long, key string", None)
     sizes = scans.where("file_id is not null").groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.count("*").alias("pages"))
     counted = heads.groupBy("file_id", "key").count().where("count > 1").join(sizes.hint("merge"), "file_id").where(F.col("count") >= F.lit(REPEATED) * F.col("pages"))
-    repeated = counted.groupBy("file_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("count"), "key"))), 1, 64).alias("k"))
+    repeated = counted.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct(-F.col("count"), "key"))).alias("k"))  # two lines a page, half the pages: at most four
     repeated = repeated.select(F.col("file_id").alias("_file"), F.col("k.key").alias("_repeated"))
 
     schema = "page_id long, file_id long, page int, top array<string>, bottom array<string>, nos array<int>, n_lines int, rows array<struct<line_no:int,kind:string,item:string,next:int>>, tails array<struct<line_no:int,part:string>>, heads array<struct<line_no:int,head:string,token:string>>"
@@ -840,8 +857,8 @@ def settled_pages(pages: DataFrame, shared) -> DataFrame:
                 # next is -1 for a line's first word, which may be the rest of a word on the page before
                 rows += [(i + 1, "misread", fixed, -1 if folded[i].lstrip().startswith(token) else 0) for token, fixed in reader.misread(folded[i], carried, piece is not None)]
                 carried = goes_on
-            near = at[:4], at[max(4, len(at) - 4) :]
-            for column, value in zip(columns, (page_id, file, page, [lines[i] for i in near[0]], [lines[i] for i in near[1]], [i + 1 for g in near for i in g], len(at), [dict(zip(("line_no", "kind", "item", "next"), r, strict=True)) for r in rows], [{"line_no": i + 1, "part": p} for i in at[-5:] if (p := reader.broken(lines[i])) is not None], [{"line_no": i + 1, "head": reader.head(lines[i]), "token": lines[i].split()[0]} for i in at[:5]]), strict=True):
+            near = edges(reader.furniture, lines, at)
+            for column, value in zip(columns, (page_id, file, page, [lines[i] for i in near[0]], [lines[i] for i in near[1]], [i + 1 for g in near for i in g], len(at), [dict(zip(("line_no", "kind", "item", "next"), r, strict=True)) for r in rows], [{"line_no": i + 1, "part": p} for i in dict.fromkeys([*near[0], *at[-1 - len(near[1]) :]]) if (p := reader.broken(lines[i])) is not None], [{"line_no": i + 1, "head": reader.head(lines[i]), "token": lines[i].split()[0]} for i in dict.fromkeys([*at[: 1 + len(near[0])], *near[1]])]), strict=True):
                 column.append(value)
         types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("item", pa.string()), ("next", pa.int32())])), pa.list_(pa.struct([("line_no", pa.int32()), ("part", pa.string())])), pa.list_(pa.struct([("line_no", pa.int32()), ("head", pa.string()), ("token", pa.string())]))]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page_id", "file_id", "page", "top", "bottom", "nos", "n_lines", "rows", "tails", "heads"])
@@ -855,13 +872,11 @@ def settled_pages(pages: DataFrame, shared) -> DataFrame:
         for row in part.to_pylist():
             texts = [*row["top"], *row["bottom"]]
             lines, n = [], row["n_lines"]
-            blank = [True] * len(texts)
             for k, (no, text) in enumerate(zip(row["nos"], texts, strict=True)):
                 top = k if k < len(row["top"]) else n - len(texts) + k
                 above = k == 0 or row["nos"][k - 1] != no - 1
                 below = k + 1 == len(texts) or row["nos"][k + 1] != no + 1
                 lines.append(Line(no, text, top, n - 1 - top, above, below))
-            del blank
             furniture = reader.furniture.of_page(lines, row["_repeated"] or [], row["page"])
             found = [(no, "furniture", "") for no in sorted(furniture)]
             first = min((x.no for x in lines if x.no not in furniture), default=0)
