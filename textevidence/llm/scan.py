@@ -32,6 +32,9 @@ from .lookfold import quick_fold
 #: Bounds of what reaches the driver: vocabulary, unknown words that teach confusions, pages that teach furniture.
 MOST_WORDS, MOST_UNKNOWN, TRAIN_PAGES = 300_000, 60_000, 3_000
 
+#: Share of all changes seen that a confusion must make up.
+LEAST_SHARE = 1e-3
+
 #: Share of all clean words that a word must make up to teach confusions.
 SHARE = 1e-4
 
@@ -215,30 +218,33 @@ class Editor:
         own, kept = self.parts(word, result, edits, found)
         return sum(get(f, 0.0) for f in own) - sum(get(f, 0.0) for f in kept)
 
-    def answers(self, word: str, without: str | None = None) -> list[tuple[float, str, tuple[Edit, ...], bool]]:
-        """(score, result, edits, whether it is known) of keeping ``word`` and of all edits that come into question."""
-        out = [(self.score(word, (), word, False), word, (), False)]
+    def candidates(self, word: str, without: str | None = None) -> list[tuple[str, tuple[Edit, ...], bool]]:
+        """(result, edits, whether it is known) of keeping ``word`` and of all edits that come into question."""
+        out: list[tuple[str, tuple[Edit, ...], bool]] = [(word, (), False)]
         single = self.single(word)
-        some: dict[tuple[Edit, ...], None] = dict.fromkeys((e,) for e in single)
-        some |= dict.fromkeys((e,) for e in self.nearby(word, without))
-        any_known, often = False, word in self.often
-        for edits in some:
-            result = edited(word, edits)
+        any_known, often = False, word in self.often and not _DIGIT.search(word)
+        for e in dict.fromkeys([*single, *self.nearby(word, without)]):
+            result = edited(word, (e,))
             full = self.known(result, without)
-            if often and full is None and word.isalpha():
+            if often and full is None:
                 continue  # a misread form of a word that clean pages lack is rare
             any_known = any_known or full is not None
-            out.append((self.score(word, edits, full or result, full is not None), full or result, edits, full is not None))
+            out.append((full or result, (e,), full is not None))
         if not any_known and 4 < len(word) <= self.longest + 2:
-            seen = set()
+            v, plain, seen = self.vocabulary, self.plain, set()
             for e in single:
                 half = edited(word, (e,))
-                for f in self.single(half):
-                    if f[0] >= e[0] and (result := edited(half, (f,))) != word and result not in seen and (full := self.known(result, without)) is not None:
+                for i, n, y in self.single(half):
+                    if i >= e[0] and ((result := half[:i] + y + half[i + n :]) in v or result in plain) and result != word and result not in seen:
                         seen.add(result)
-                        out.append((self.score(word, (e, f), full, True), full, (e, f), True))
+                        if (full := self.known(result, without)) is not None:
+                            out.append((full, (e, (i, n, y)), True))
         return out
 
+    def best(self, word: str, candidates: list[tuple[str, tuple[Edit, ...], bool]], lead: float = 0.0) -> tuple[str, tuple[Edit, ...], bool]:
+        """The candidate of the highest score; ``lead``: what any edit is given on top."""
+        return max(candidates, key=lambda c: (self.score(word, c[1], c[0], c[2]) + (lead if c[1] else 0.0), c[0]))
+
     def fix(self, word: str) -> str | None:
         """The right word if ``word`` is misread, else None."""
         if word in self.memo:
@@ -252,9 +258,9 @@ class Editor:
         v = self.vocabulary
         if word in v or len(word) < 3 or len(word) == 3 and word.isalpha() and word.isascii() or _ODD.search(word):
             return None
-        best = max(self.answers(word), key=lambda x: (x[0], x[1]))
-        if best[2]:
-            return best[1] if best[1] != word else None
+        result, edits, _ = self.best(word, self.candidates(word))
+        if edits:
+            return result if result != word else None
         if "-" in word and len(parts := word.split("-")) == 2 and all(len(p) > 2 for p in parts):
             fixed = [p if p in v else self.fix(p) for p in parts]
             if all(fixed) and fixed != parts:
@@ -319,7 +325,7 @@ def learn_confusions(vocabulary: dict[str, int], unknown: dict[str, int], least:
     rates = {}
     for (x, y), n in sorted(weight.items(), key=lambda p: (-p[1], p[0])):
         # true confusions show up in many words; chance neighbours in a few
-        if len(seen[x, y]) >= least and n >= max(least, total * 2e-4):
+        if len(seen[x, y]) >= least and n >= max(least, total * LEAST_SHARE):
             out[x].append(y)
             rates[x, y] = n
     return dict(out), rates
@@ -358,17 +364,16 @@ def train_editor(vocabulary: dict[str, int], unknown: dict[str, int], rounds: in
                 examples.append((word[:i] + x + word[i + len(y) :], word, None))
         for word in rng.choices(rare, k=int(most * UNKNOWN)):
             examples += [(word, word, word), (noise(word), word, word)] if rng.random() < 0.25 else [(word, word, word)]
+    examples = [x for x in examples if (x[0] not in vocabulary or x[0] == x[2]) and len(x[0]) > 2 and not _ODD.search(x[0])]
+    todo = [(noisy, word, some) for noisy, word, without in examples if len(some := editor.candidates(noisy, without)) > 1]
     for _ in range(rounds):
-        rng.shuffle(examples)
-        for noisy, word, without in examples:
-            if noisy in vocabulary and noisy != without or len(noisy) < 3 or _ODD.search(noisy):
-                continue
-            answers = editor.answers(noisy, without)
+        rng.shuffle(todo)
+        for noisy, word, some in todo:
             # what is to be left alone must lead by a margin
-            best = max(answers, key=lambda a: (a[0] + (MARGIN if a[2] and noisy == word else 0.0), a[1]))
-            right = [a for a in answers if a[1] == word] if best[1] != word else []
+            best = editor.best(noisy, some, MARGIN if noisy == word else 0.0)
+            right = [c for c in some if c[0] == word] if best[0] != word else []
             if right:
-                good, bad = (editor.parts(noisy, *a[1:]) for a in (max(right, key=lambda a: a[0]), best))
+                good, bad = (editor.parts(noisy, *c) for c in (editor.best(noisy, right), best))
                 model.move(good[0] + bad[1], bad[0] + good[1])
         for word in usual[: most // 4]:
             if "-" in word.strip("-"):
