@@ -92,8 +92,12 @@ def utf16_length(c: Column) -> Column:
 
 
 def prefix(c: Column, most: int) -> tuple[Column, Column]:
-    """The first ``most`` characters, and whether any were cut off (null counts as not cut)."""
-    return F.substring(c, 1, most), F.coalesce(utf16_length(c) > most, F.lit(False))
+    """The first ``most`` UTF-16 units, and whether any were cut off (null counts as not cut).  A character of two
+    units that would be cut in half is left out."""
+    start, empty = F.substring(c, 1, most), F.struct(F.lit(0).alias("units"), F.lit(0).alias("n"))
+    unit = lambda x: F.when(x.rlike(r"[\x{10000}-\x{10FFFF}]"), 2).otherwise(1)
+    whole = F.aggregate(F.split(start, ""), empty, lambda a, x: F.struct((a["units"] + unit(x)).alias("units"), (a["n"] + F.when(a["units"] + unit(x) <= most, F.when(x == "", 0).otherwise(1)).otherwise(0)).alias("n")), lambda a: a["n"])
+    return F.when(utf16_length(start) <= most, start).otherwise(F.substr(start, F.lit(1), whole)), F.coalesce(utf16_length(c) > most, F.lit(False))
 
 
 def fact_label(c: Column) -> Column:

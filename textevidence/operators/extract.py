@@ -106,7 +106,10 @@ def _shaped(pattern: str, day: int, month: int, year: int, flags: int = 0) -> Ca
 def _month_first(text: str) -> Iterator[tuple[str | None, Span]]:
     """Month, day, year: looked for from the day on, as nearly every word could be a month's name."""
     for m in _DAY_YEAR.finditer(text):
-        from_ = max(0, m.start() - 60)
+        from_ = m.start()  # back over spaces and one word, however far
+        while from_ > 0 and text[from_ - 1].isspace():
+            from_ -= 1
+        from_ = max(0, from_ - 11)
         if before := _MONTH_BEFORE.search(text[from_ : m.start()]):
             yield iso_date(int(m[1]), _month(before[1]), int(m[2])), (from_ + before.start(), m.end())
 
@@ -353,6 +356,7 @@ def extract_text(raw: str) -> list[dict]:
             "generic_invoice": bool(names & {"invoice_number", "total_amount_bdt", "amount_bdt", "phone", "email"}),
         }[made["schema"]]
         if shown:
+            made |= {"schema_version": VERSION, "review_required": True}
             for f in made["fields"]:
                 start, end = f["span"]
                 f["span"] = {"start": units(start), "end": units(end)}
@@ -371,7 +375,7 @@ _FIELD = T.StructType([
     *(T.StructField(n, T.StringType()) for n in ("source_label", "pattern_strength", "verification_status")),
 ])
 _NOTE = T.StructType([T.StructField(n, T.StringType()) for n in ("code", "field", "status", "detail")])
-EXTRACTIONS = T.ArrayType(T.StructType([T.StructField("schema", T.StringType()), T.StructField("fields", T.ArrayType(_FIELD)), T.StructField("validations", T.ArrayType(_NOTE))]))
+EXTRACTIONS = T.ArrayType(T.StructType([T.StructField("schema", T.StringType()), T.StructField("schema_version", T.StringType()), T.StructField("review_required", T.BooleanType()), T.StructField("fields", T.ArrayType(_FIELD)), T.StructField("validations", T.ArrayType(_NOTE))]))
 
 
 @F.arrow_udf(EXTRACTIONS)

@@ -10,12 +10,12 @@ from ..functions.text import strip, utf16_length
 #: What consent protects, and limits of requests.
 PROTECTED = ["transcript", "audio_sha256", "image_sha256"]
 MOST_CHARS, MOST_PHRASES, MOST_FACT_BYTES = 8192, 50, 500_000
-SHA_CHAIN = ["VERCEL_GIT_COMMIT_SHA", "GIT_COMMIT_SHA", "COMMIT_SHA", "BUILD_COMMIT_SHA"]
 
 
 def consent(raw: Column) -> Column:
-    """True for true, or the texts true, 1 and yes in any case; never for null or numbers."""
-    return F.coalesce(F.lower(strip(raw.cast("string"))).isin("true", "1", "yes"), F.lit(False))
+    """True for true, or the texts true, 1 and yes in any case; never for null, numbers or any other type."""
+    said = F.lower(strip(raw.cast("string")))
+    return F.coalesce(F.when(F.typeof(raw) == "boolean", said == "true").when(F.typeof(raw) == "string", said.isin("true", "1", "yes")), F.lit(False))
 
 
 def consented_events(events: DataFrame, enabled: bool = True) -> DataFrame:
@@ -65,6 +65,18 @@ def match_consumer(tokens: DataFrame, keys: DataFrame) -> DataFrame:
     return joined.select("token_id", F.when(F.col("_known"), F.coalesce("name", F.lit("legacy"))).alias("consumer"))
 
 
+def auth_decisions(requests: DataFrame, keys: DataFrame, bypass: bool = False) -> DataFrame:
+    """(request_id, status, consumer) of requests (request_id, authorization) against keys (name, key): 403 for all
+    when no key is set at all (unless ``bypass``, for local work), 401 without a token or for an unknown one, else
+    200 with the consumer's name.  A projection of what would be decided; it guards nothing."""
+    usable = keys.where(strip(F.coalesce("key", F.lit(""))) != "")
+    tokens = requests.select("request_id", bearer(F.col("authorization")).alias("token"))
+    matched = match_consumer(tokens.withColumnRenamed("request_id", "token_id"), usable).withColumnRenamed("token_id", "request_id")
+    some = usable.agg((F.count("*") > 0).alias("_some"))  # one row
+    status = F.when(~F.col("_some"), 200 if bypass else 403).when(F.col("consumer").isNull(), 401).otherwise(200)
+    return matched.join(F.broadcast(some)).select("request_id", status.alias("status"), "consumer")
+
+
 def bearer(header: Column) -> Column:
     """The token of a bearer header; null without one."""
     return F.nullif(strip(F.regexp_extract(header, r"(?is)^\s*bearer\s+(.*)\z", 1)), F.lit(""))

@@ -36,10 +36,11 @@ def within_budget(attempts: DataFrame, key: str, model_ms: int = MODEL_MS, chain
     return attempts.withColumn("started_ms", started).withColumn("skipped", F.col("started_ms") >= chain_ms).withColumn("spent_ms", F.when(F.col("skipped"), 0).otherwise(cost))
 
 
-def model_list(configured: Column, legacy: Column) -> Column:
-    """The configured models, trimmed and each once; else the legacy one before the defaults; else the defaults."""
+def model_list(configured: Column, legacy: Column, models: list[str] | None = None) -> Column:
+    """The configured models, trimmed and each once; else the legacy one before the defaults (``models``, or the
+    fixed ones); else the defaults."""
     named = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(configured, F.lit("")), ","), strip), lambda m: m != ""))
-    defaults = F.array(*[F.lit(m) for m in DEFAULT_MODELS])
+    defaults = F.array(*[F.lit(m) for m in models or DEFAULT_MODELS])
     old = strip(F.coalesce(legacy, F.lit("")))
     return F.when(F.size(named) > 0, named).when(old != "", F.array_distinct(F.concat(F.array(old), defaults))).otherwise(defaults)
 

@@ -542,3 +542,6 @@ def key_map_parse(spark: SparkSession, d: str) -> DataFrame:
 @query("select date_trunc('day', ts)::timestamp as window_start, product, count(*) as events, count(*) filter (where consent) as consented from corpus_events where ts is not null group by 1, 2")
 def daily_events(spark: SparkSession, d: str) -> DataFrame:
     return stream.windowed_counts(_t(spark, d, "corpus_events").select("ts", "product", "consent"))
+
+
+from . import contracts  # noqa: E402, F401  (registers its queries)

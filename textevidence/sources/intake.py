@@ -17,7 +17,7 @@ from ..functions.text import WS, collapse, strip
 
 #: Size limits in bytes and the known extensions and kinds.
 MOST_DOCUMENT, MOST_AUDIO, MOST_IMAGE, MOST_BODY = 10 * 1024 * 1024, 8 * 1024 * 1024, 4 * 1024 * 1024, 65_536
-TEXT, DOCX, PDF, IMAGES = [".csv", ".md", ".txt"], ".docx", ".pdf", [".bmp", ".jpeg", ".jpg", ".png", ".tif", ".tiff", ".webp"]
+TEXT, DOCX, PDF, IMAGES = [".txt", ".md", ".csv"], ".docx", ".pdf", [".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff"]
 OCR_LANGUAGES = {"": "ben+eng", "en": "eng", "english": "eng", "eng": "eng", "bn": "ben", "ben": "ben", "bengali": "ben"}
 IMAGE_KINDS = ["image/jpeg", "image/png", "image/webp"]
 AUDIO_KINDS = ["audio/webm", "audio/ogg", "audio/m4a", "audio/mp4", "audio/mpeg", "audio/wav"]
