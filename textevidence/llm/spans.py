@@ -153,8 +153,9 @@ def in_pieces(ids: list[int], texts: list[str], span: int, size: int = PIECE) ->
 
 
 def units(ids: np.ndarray, texts: list[str], span: int, gram: int, bases: np.ndarray | None = None) -> pa.RecordBatch:
-    """(doc_id, anchor, at, low, high, page, context): one row per unit.  Its windows start at low..high, counted from
-    the anchor gram, which starts at ``at``; context is the text around the gram that the windows cover."""
+    """(doc_id, anchor, at, low, high, page, context, digest): one row per unit.  Its windows start at low..high, counted
+    from the anchor gram, which starts at ``at``; context is the text around the gram that the windows cover, and
+    digest stands for the whole unit."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(lens)
@@ -170,9 +171,11 @@ def units(ids: np.ndarray, texts: list[str], span: int, gram: int, bases: np.nda
     left, right = window[first], window[last] + span
     page, offsets, data = pack(codes, np.stack((left, at + gram), 1).ravel(), np.stack((at - left, right - at - gram), 1).ravel())
     context = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    low = (left - at).astype(np.int64).view(np.uint64)
+    digest = _mix(rolling.of(left, at) * np.uint64(3) + rolling.of(at + gram, right) + _mix(hashes[at]) + _mix(low) * np.uint64(5))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids[d]), pa.array(hashes[at].view(np.int64)), pa.array((at - starts[d] + (0 if bases is None else bases[d])).astype(np.int32)), pa.array((left - at).astype(np.int16)), pa.array((window[last] - at).astype(np.int16)), pa.array(page), context],
-        names=["doc_id", "anchor", "at", "low", "high", "page", "context"],
+        [pa.array(ids[d]), pa.array(hashes[at].view(np.int64)), pa.array((at - starts[d] + (0 if bases is None else bases[d])).astype(np.int32)), pa.array((left - at).astype(np.int16)), pa.array((window[last] - at).astype(np.int16)), pa.array(page), context, pa.array(digest.view(np.int64))],
+        names=["doc_id", "anchor", "at", "low", "high", "page", "context", "digest"],
     )
 
 
@@ -209,13 +212,12 @@ def several(keys: np.ndarray, docs: np.ndarray, common: np.ndarray | None = None
 def thinned(made: pa.RecordBatch) -> pa.RecordBatch:
     """Units of one slice, pre-aggregated: of equal units of several records one goes on as common with its
     context, the others as known stretches.  However many copies a text has, each slice sends its units once."""
-    doc, anchor, at, low, high, page = (np.asarray(made.column(k)) for k in range(6))
-    _, _, digest = unit_hashes(anchor, low, page, made.column(6))
+    doc, page, digest = (np.asarray(made.column(k)) for k in (0, 5, 7))
     shared, first = several(digest, doc)
     kind = np.where(~shared, LONE, np.where(first, COMMON, KNOWN)).astype(np.int8)
     known = kind == KNOWN
     context = pa.compute.if_else(pa.array(known), pa.scalar(b"", pa.binary()), made.column(6)) if known.any() else made.column(6)
-    return pa.RecordBatch.from_arrays([*made.columns[:5], pa.array(np.where(known, np.int16(0), page)), context, pa.array(kind)], names=[*made.schema.names, "kind"])
+    return pa.RecordBatch.from_arrays([*made.columns[:5], pa.array(np.where(known, np.int16(0), page)), context, pa.array(kind)], names=[*made.schema.names[:7], "kind"])
 
 
 def compare(doc: np.ndarray, anchor: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, page: np.ndarray, kind: np.ndarray, context: pa.Array, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
