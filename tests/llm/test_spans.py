@@ -110,3 +110,11 @@ def test_lines_of_long_texts_and_hot_lines(spark):
     far = got.where("doc_id = 5001").collect()
     assert len(far) == 20_000 and all(r["kept_id"] == 5000 and r["kept_pos"] == r["start_pos"] - 1 for r in far)
     assert spans.repeated_lines(df.where("false")).count() == 0
+
+
+def test_anchor_at_the_end():
+    """Stretches may be empty at either end of a slice."""
+    for seed in range(30):
+        text = "".join(random.Random(seed).choices("abcd", k=40))
+        made = spans.thinned(spans.units(np.array([1, 2]), [text, text], 40, 20))
+        assert made.num_rows == 2 and np.asarray(made.column(7)).tolist() == [spans.COMMON, spans.KNOWN]

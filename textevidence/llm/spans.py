@@ -60,9 +60,9 @@ class Rolling:
     """Hashes of any stretches of an array of code points, by prefix sums modulo 2^64."""
 
     def __init__(self, codes: np.ndarray):
-        power, self.inverse = _powers(len(codes))
+        power, self.inverse = _powers(len(codes) + 1)  # an empty stretch may begin at the end
         values = _mix(codes.astype(np.uint64) + np.uint64(0x51_7C_C1_B7))
-        self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * power)))
+        self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * power[:-1])))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.prefix[end] - self.prefix[start]) * self.inverse[start])
