@@ -77,12 +77,6 @@ def dialect_by_language(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("language", "status", "script_mix").agg(F.count("*").alias("events"), F.round(F.avg("match_score"), 4).alias("mean_score"))
 
 
-@query()
-def dialect_of_candidates(spark: SparkSession, d: str) -> DataFrame:
-    out = dialect.infer_dialect(_t(spark, d, "dialect_candidates").select("candidate_id", "phrase"), "phrase")
-    return out.select("candidate_id", "status", "dialect_label", F.round("match_score", 6).alias("match_score"), "script_mix", "input_truncated")
-
-
 @query("select * from (values " + ", ".join(f"({i}, 'suggested', '{c[1]}', 1.0::double)" for i, c in enumerate(CUES)) + ") v(ordinal, status, dialect_label, match_score)")
 def dialect_catalog_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CUES)], "ordinal int, phrase string")
@@ -155,12 +149,6 @@ def script_presence(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "corpus_events").select("event_id", script.presence_tag(c, text.norm_match(c)).alias("script_mix"))
 
 
-@query()
-def norm_forms(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("phrase")
-    return _t(spark, d, "dialect_candidates").select("candidate_id", text.norm_transcript(c).alias("transcript_form"), text.norm_match(c).alias("match_form"), dialect.norm_romanised(text.norm_match(c)).alias("romanised_form"), text.norm_compare(c).alias("compare_form"))
-
-
 @query(
     f"""
 with t as (select doc_id, list_distinct(list_filter(string_split({_collapsed("coalesce(title, '')")}, ' '), lambda x: x <> '')) as a, list_distinct(list_filter(string_split({_collapsed("coalesce(redirect_to, title, '')")}, ' '), lambda x: x <> '')) as b from documents),
@@ -544,4 +532,4 @@ def daily_events(spark: SparkSession, d: str) -> DataFrame:
     return stream.windowed_counts(_t(spark, d, "corpus_events").select("ts", "product", "consent"))
 
 
-from . import contracts  # noqa: E402, F401  (registers its queries)
+from . import contracts, cue_sql  # noqa: E402, F401  (they register their queries)
