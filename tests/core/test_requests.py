@@ -73,3 +73,8 @@ def test_auth(spark):
     assert sorted(tuple(r) for r in governance.auth_decisions(asked, keys).collect()) == [(1, 200, "me"), (2, 401, None), (3, 401, None)]
     for bypass, status in ((False, 403), (True, 200)):
         assert {r["status"] for r in governance.auth_decisions(asked, keys.where("false"), bypass).collect()} == {status}
+
+
+def test_no_score_is_not_the_best(spark):
+    rows = spark.createDataFrame([(None,), (float("nan"),), (-1.0,), (2.0,), (0.12345,)], "x double")
+    assert [r[0] for r in rows.select(text.clamp_score(F.col("x"), 3)).collect()] == [None, None, 0.0, 1.0, 0.123]

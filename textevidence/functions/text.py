@@ -128,5 +128,6 @@ def _half_up(s: pd.Series, places: pd.Series) -> pd.Series:
 
 
 def clamp_score(c: Column, places: int) -> Column:
-    """Rounded to ``places`` on the exact value, then held within 0 and 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _half_up(c.cast("double"), F.lit(places))))
+    """Rounded to ``places`` on the exact value, then held within 0 and 1; null (and no number) stays null."""
+    rounded = _half_up(c.cast("double"), F.lit(places))
+    return F.when(rounded < 0, 0.0).when(rounded > 1, 1.0).otherwise(rounded)

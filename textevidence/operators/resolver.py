@@ -65,13 +65,14 @@ def fuse(df: DataFrame, classifier: Column, confidence: Column) -> DataFrame:
     candidate_dialect_label, match_score); ``classifier`` is its dialect, null if unresolved.
 
     A cue counts from the general floor on, even below a curated one.  Agreement adds 0.08, disagreement takes 0.18.
+    Without a confidence the fused one is null, and nothing is resolved.
     """
     cue = F.coalesce("dialect_label", "candidate_dialect_label")
     counts = classifier.isNotNull() & cue.isNotNull() & F.coalesce(F.col("match_score") >= FLOOR, F.lit(False))
     agreement = F.when(counts & (cue == classifier), "agree").when(counts, "disagree").otherwise("none")
     step = df.withColumn("agreement", agreement)
-    moved = F.when(F.col("agreement") == "agree", F.least(F.lit(1.0), confidence + BOOST)).when(F.col("agreement") == "disagree", F.greatest(F.lit(0.0), confidence - PENALTY)).otherwise(confidence)
-    return step.withColumn("fused_confidence", clamp_score(moved, 3)).withColumn("resolved", classifier.isNotNull() & (F.col("fused_confidence") >= RESOLVE_FLOOR))
+    moved = F.when(confidence.isNull(), F.lit(None).cast("double")).when(F.col("agreement") == "agree", F.least(F.lit(1.0), confidence + BOOST)).when(F.col("agreement") == "disagree", F.greatest(F.lit(0.0), confidence - PENALTY)).otherwise(confidence)
+    return step.withColumn("fused_confidence", clamp_score(moved, 3)).withColumn("resolved", classifier.isNotNull() & F.coalesce(F.col("fused_confidence") >= RESOLVE_FLOOR, F.lit(False)))
 
 
 def resolve_dialect(df: DataFrame, text_col: str, raw_col: str | None = None, configured: bool = True) -> DataFrame:

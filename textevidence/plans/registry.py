@@ -92,13 +92,13 @@ def dialect_labels(spark: SparkSession, d: str) -> DataFrame:
     """
 with j as (select m.match_id, m.dialect_label as dl, m.candidate_dialect_label as cl, m.match_score as s,
   case when e.classifier_status = 'ok' then e.dialect_label end as c, e.classifier_confidence as k
-  from cue_matches m join corpus_events e using (event_id) where e.classifier_confidence is not null),
+  from cue_matches m join corpus_events e using (event_id)),
 a as (select *, case when c is not null and coalesce(dl, cl) is not null and coalesce(s >= 0.58, false) then case when coalesce(dl, cl) = c then 'agree' else 'disagree' end else 'none' end as agreement from j),
-f as (select *, round(greatest(0, least(1, case agreement when 'agree' then least(1, k + 0.08) when 'disagree' then greatest(0, k - 0.18) else k end)), 3) as fused from a)
-select match_id, agreement, fused as fused_confidence, (c is not null and fused >= 0.72) as resolved from f"""
+f as (select *, case when k is not null then round(greatest(0, least(1, case agreement when 'agree' then least(1, k + 0.08) when 'disagree' then greatest(0, k - 0.18) else k end)), 3) end as fused from a)
+select match_id, agreement, fused as fused_confidence, (c is not null and coalesce(fused >= 0.72, false)) as resolved from f"""
 )
 def classifier_fusion(spark: SparkSession, d: str) -> DataFrame:
-    events = _t(spark, d, "corpus_events").select("event_id", "classifier_status", F.col("dialect_label").alias("answer"), "classifier_confidence").where("classifier_confidence is not null")
+    events = _t(spark, d, "corpus_events").select("event_id", "classifier_status", F.col("dialect_label").alias("answer"), "classifier_confidence")
     matches = _t(spark, d, "cue_matches").select("match_id", "event_id", "dialect_label", "candidate_dialect_label", "match_score")
     fused = resolver.fuse(matches.join(events, "event_id"), F.when(F.col("classifier_status") == "ok", F.col("answer")), F.col("classifier_confidence"))
     return fused.select("match_id", "agreement", "fused_confidence", "resolved")
@@ -160,10 +160,9 @@ def token_f1_titles(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", F.round(similarity.token_f1(a, b), 9).alias("f1"))
 
 
-@query("select p_partkey, round(case when p_name = '' or p_type = '' then 0.0 when p_name = p_type then 1.0 else (greatest(length(p_name), length(p_type)) - levenshtein(p_name, p_type)) / greatest(length(p_name), length(p_type)) end, 9) as similarity from part where p_name is not null and p_type is not null")
+@query("select p_partkey, round(case when p_name is null or p_type is null or p_name = '' or p_type = '' then 0.0 when p_name = p_type then 1.0 else (greatest(length(p_name), length(p_type)) - levenshtein(p_name, p_type)) / greatest(length(p_name), length(p_type)) end, 9) as similarity from part")
 def char_similarity_parts(spark: SparkSession, d: str) -> DataFrame:
-    p = _t(spark, d, "part").where("p_name is not null and p_type is not null")
-    return p.select("p_partkey", F.round(similarity.char_similarity(F.col("p_name"), F.col("p_type")), 9).alias("similarity"))
+    return _t(spark, d, "part").select("p_partkey", F.round(similarity.char_similarity(F.col("p_name"), F.col("p_type")), 9).alias("similarity"))
 
 
 # Facts.
@@ -479,7 +478,7 @@ def gold_thresholds(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def field_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "extracted_fields").where("value is not null and raw is not null").select("field_id", "field", "value", "raw")
+    rows = _t(spark, d, "extracted_fields").select("field_id", "field", "value", "raw")
     scored = evaluation.score_texts(rows, "value", "raw", F.col("field") == "email")
     return scored.groupBy("field", "metric").agg(F.count("*").alias("fields"), F.count_if(F.col("pass")).alias("passed"), F.round(F.avg("score"), 6).alias("mean_score"))
 
