@@ -12,7 +12,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, sample, slices
-from .lookfold import quick_fold
+from .lookfold import RESIZED, keeps_places, quick_fold, resized
 
 #: Words after which a full stop seldom ends a rough piece of text.
 ABBREVIATIONS = """dr mr mrs ms prof st vol pp p no nos fig figs sec cf approx etc vs jan feb mar apr jun jul aug sep sept oct nov dec co ltd inc corp ver
@@ -261,34 +261,45 @@ def _read(part: pa.RecordBatch, markup: bool) -> list[str]:
     return [quick_fold(prose(t) if markup else t) if t else "" for t in texts]
 
 
-def _cut(text: str, places: list[tuple[int, int]], pattern: re.Pattern[str], to: str) -> tuple[str, list[tuple[int, int]]]:
-    """``pattern.sub(to, text)`` and the place in the original of each character."""
+Places = tuple[np.ndarray, np.ndarray]
+
+
+def _cut(text: str, places: Places, pattern: re.Pattern[str], to: str | Callable[[re.Match[str]], str]) -> tuple[str, Places]:
+    """``pattern.sub(to, text)`` and the place (start, end) in the original of each character."""
     out, own, at = [], [], 0
     for m in pattern.finditer(text):
         out.append(text[at : m.start()])
-        own += places[at : m.start()]
+        own.append(slice(at, m.start()))
         if to == r"\1":
             if m.group(1):
                 out.append(m.group(1))
-                own += places[m.start(1) : m.end(1)]
+                own.append(slice(m.start(1), m.end(1)))
         else:
-            out.append(to)
-            own += [places[m.start()]] * len(to)
+            out.append(made := to if isinstance(to, str) else to(m))
+            own += [slice(m.start(), m.start() + 1)] * len(made)
         at = m.end()
-    return "".join([*out, text[at:]]), own + places[at:]
+    if not at:
+        return text, places
+    own.append(slice(at, len(text)))
+    return "".join([*out, text[at:]]), tuple(np.concatenate([x[k] for k in own]) for x in places)
 
 
-def placed(text: str, markup: bool) -> list[tuple[int, int]] | None:
-    """The place (start, end) in the original of each character of the text that ``_read`` gives; None: the same."""
-    if not markup and (text.isascii() or quick_fold(text) == text):
+def placed(text: str, markup: bool, want: str | None = None) -> Places | None:
+    """The places (starts, ends) in the original of the characters of the text that ``_read`` gives (``want``, if it is
+    known); None: the same."""
+    if not markup and keeps_places(text):
         return None
-    want = quick_fold(prose(text) if markup else text)
-    places = [(i, i + 1) for i in range(len(text))]
+    want = quick_fold(prose(text) if markup else text) if want is None else want
+    places = np.arange(len(text)), np.arange(1, len(text) + 1)
     if markup:
         for pattern, to in _MARKUP:
             text, places = _cut(text, places, pattern, to)
+    whole = _cut(text, places, RESIZED, resized)
+    if keeps_places(whole[0]) and len(whole[0]) == len(want):
+        return whole[1]
     out: list[str] = []
     own: list[tuple[int, int]] = []
+    starts, ends = (x.tolist() for x in places)
     at = 0
     while at < len(text):  # a letter and its marks are folded together
         end = at + 1
@@ -296,18 +307,18 @@ def placed(text: str, markup: bool) -> list[tuple[int, int]] | None:
             end += 1
         part = quick_fold(text[at:end])
         out.append(part)
-        own += [(i, i + 1) for i, _ in places[at:end]] if len(part) == end - at else [(places[at][0], places[end - 1][1])] * len(part)
+        own += list(zip(starts[at:end], ends[at:end], strict=True)) if len(part) == end - at else [(starts[at], ends[end - 1])] * len(part)
         at = end
-    if (got := "".join(out)) == want:
-        return own
-    # marks that composed across what does not show: aligned by the characters both have
-    exact = [(-1, -1)] * len(want)
-    for a, b, n in SequenceMatcher(None, got, want, autojunk=False).get_matching_blocks():
-        exact[b : b + n] = own[a : a + n]
-    for k, x in enumerate(exact):
-        if x[0] < 0:
-            exact[k] = exact[k - 1] if k else own[0]
-    return exact
+    if (got := "".join(out)) != want:
+        # marks that composed across what does not show: aligned by the characters both have
+        exact = [(-1, -1)] * len(want)
+        for a, b, n in SequenceMatcher(None, got, want, autojunk=False).get_matching_blocks():
+            exact[b : b + n] = own[a : a + n]
+        for k, x in enumerate(exact):
+            if x[0] < 0:
+                exact[k] = exact[k - 1] if k else own[0]
+        own = exact
+    return tuple(np.array(x, np.int64) for x in (zip(*own, strict=True) if own else ((), ())))
 
 
 def segments(df: DataFrame, matrix: tuple, id_col: str, text_col: str, markup: bool = False) -> DataFrame:
@@ -338,8 +349,8 @@ def segments(df: DataFrame, matrix: tuple, id_col: str, text_col: str, markup: b
             for lang, _, a, b in found:
                 size[lang] += b - a
             main = max(size, key=size.__getitem__)
-            places = placed(raw, markup)
-            rows += [(i, places[a][0] if places else a, places[b - 1][1] if places else b, lang, confidence, n, main) for a, b, lang, confidence, n in united]
+            places = placed(raw, markup, text)
+            rows += [(i, int(places[0][a]) if places else a, int(places[1][b - 1]) if places else b, lang, confidence, n, main) for a, b, lang, confidence, n in united]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     rows = df.select(df[id_col].cast("long").alias("_id"), df[text_col].alias("_text")).where("_text is not null and _text != ''")

@@ -49,3 +49,17 @@ def quick_fold(text: str) -> str:
     if _ASTRAL.search(text):
         text = _ASTRAL.sub(lambda m: _TO.get(m.group(), m.group()), text)
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+
+
+#: Characters that quick_fold leaves out or takes apart.
+RESIZED = re.compile("[" + "".join(re.escape(c) for c, to in _TO.items() if c < "\U00010000" and len(to) != 1) + "]")
+
+
+def keeps_places(text: str) -> bool:
+    """Whether quick_fold surely gives a character for each character: nothing is left out, parted or composed."""
+    return text.isascii() or not (RESIZED.search(text) or _ASTRAL.search(text)) and unicodedata.is_normalized("NFC", _ANY.sub(lambda m: _TO[m.group()], text))
+
+
+def resized(m: re.Match[str]) -> str:
+    """What stands for a character that ``RESIZED`` finds."""
+    return _TO[m.group()]
