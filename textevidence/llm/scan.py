@@ -700,7 +700,7 @@ class Reader:
                 hyphen = None
             part = self.broken(line)
             fixes = dict(self.misread(quick_fold(" ".join(tokens)), False, part is not None))
-            for k, token in enumerate(tokens):
+            for k, token in enumerate(tokens) if fixes else ():
                 for was, right in fixes.items():
                     if was in token:
                         core = was.strip(_PUNCT)
