@@ -85,3 +85,13 @@ def test_segments_have_places(spark, data):
     wiki = f"{{{{Infobox|a=b}}}}{chr(39) * 3}{en[0]}{chr(39) * 3}\n== Head ==\n{bn}<ref>x</ref>\n"
     got = langid.segments(spark.createDataFrame([(1, wiki)], "id long, text string"), model, "id", "text", True).collect()
     assert {r["lang"]: wiki[r["start_pos"] : r["end_pos"]] for r in got} == {"en": en[0], "bn": bn}
+
+
+def test_models_do_not_depend_on_the_order_of_rows(spark, data):
+    folder = data.replace("sf0.001", "sf0.01")
+    pages, events = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("pdf_pages", "corpus_events"))
+    clean = spark.read.parquet(f"{data}/lang_samples.parquet")
+    readers = [scan.fit(p, train_pages=60) for p in (pages.repartition(1), pages.repartition(5, "page_id").sortWithinPartitions("text"))]
+    assert readers[0].editor.model.weights == readers[1].editor.model.weights and readers[0].furniture.lead == readers[1].furniture.lead
+    models = [langid.fit(clean, [(e, "language", "transcript")], rows=200) for e in (events.repartition(1), events.repartition(5, "event_id").sortWithinPartitions("transcript"))]
+    assert (models[0][0] == models[1][0]).all() and models[0][1] == models[1][1]
