@@ -148,6 +148,36 @@ def test_fit_counts_every_text(spark, samples):
     assert abs(sum(few.start_case) - sum(made[0].start_case)) < 1e-6
 
 
+def test_fit_counts_every_clean_sentence(spark):
+    """Clean sentences are counted however many there are, those that sort last as well."""
+    clean = spark.range(6000).selectExpr("concat('Satz ', id, ' endet hier.') as text")
+    df = spark.createDataFrame([(1, "Der Rat kam. Er ging.")], "id long, text string")
+    assert sum(sentences.fit([(df, "text", False)], clean).start_case) == 6001
+
+
+@pytest.mark.parametrize("few", [3, 300])
+def test_bounds_change_no_units(spark, data, few):
+    """What the driver may collect decides where the model is made, not what it knows: rare words and quotations, too."""
+    events = spark.read.parquet(f"{data}/corpus_events.parquet").select("event_id", "transcript").unionByName(
+        spark.createDataFrame([(-1, "Der Rat sprach: „Zwölf Qrx. kamen, acht Vbn. nicht.“ Er schlief. Er ging."), (-1, "It rained. He slept.\nHe left."), (-2, " ")], "event_id long, transcript string")
+    )
+    pages = spark.read.parquet(f"{data}/pdf_pages.parquet").where("engine = 'pdfjs-dist'").select("page_id", "text")
+    clean, sources = spark.read.parquet(f"{data}/lang_samples.parquet"), [(events, "transcript", False), (pages, "text", True)]
+    got = []
+    for model in (sentences.fit(sources, clean), sentences.fit(sources, clean, pairs=few, words=few)):
+        rows = sentences.sentences(events, clean, "event_id", "transcript", False, "e", model).unionByName(sentences.sentences(pages, clean, "page_id", "text", True, "p", model))
+        got.append((model, sorted(tuple(r) for r in rows.collect())))
+    (whole, want), (bounded, have) = got
+    assert have == want
+    assert len(bounded.known) == few
+    rest = dict(tuple(r) for r in bounded.rest.collect())
+    counted = sentences.folded(sentences.bigrams((r[0], False) for r in events.where("transcript is not null").select("transcript").collect()))
+    for a, x, b, y in counted:
+        if x and y:
+            name = sentences._name(a, b)
+            assert bounded.known.get(name, rest.get(name)) == pytest.approx(whole.odds(a, x, b, y), abs=1e-4)
+
+
 def test_sentence_frame(spark, samples, splitter):
     clean = spark.createDataFrame(samples, "lang string, text string")
     df = spark.createDataFrame([(1, None, 5), (2, " ", 5), (3, "It rained. He slept.", 5), (3, "It rained. He slept.", 5)], "record_id long, text string, start_pos int")
